@@ -64,9 +64,36 @@ def mean_skip_na(c: ColumnOrName) -> Column:
     return F.avg(nan_to_null(c))
 
 
+# Exact means: finite values are summed as decimals, so a mean does not depend
+# on the order in which partitions are combined (identical on any cluster
+# layout); the mean is then rounded half-up at 12 decimals and converted to
+# the nearest double once.  The value decimal keeps 8 decimals and 10 integer
+# digits, so it stays in Spark's fast 64-bit decimal path.
+MEAN_VALUE_TYPE = "decimal(18,8)"
+MEAN_SUM_TYPE = "decimal(28,8)"
+MEAN_RESULT_TYPE = "decimal(38,12)"
+
+
+def finite_decimal(c: ColumnOrName) -> Column:
+    x = _c(c)
+    return F.when(is_finite(x), x).cast(MEAN_VALUE_TYPE)
+
+
+def is_inf(c: ColumnOrName) -> Column:
+    return F.abs(_c(c)) == INF()
+
+
+def exact_mean_of(total: Column, n: Column) -> Column:
+    """Mean from a decimal sum and a count (NULL for no values)."""
+    q = total.cast(MEAN_SUM_TYPE) / n.cast("decimal(20,0)")
+    return F.when(n > 0, q.cast(MEAN_RESULT_TYPE).cast("double"))
+
+
 def clean_mean(c: ColumnOrName) -> Column:
-    """Group mean as the survey computes it: skip NULL/NaN, non-finite -> NULL."""
-    return finite_or_null(mean_skip_na(c))
+    """Group mean as the survey computes it: NULL and NaN skipped; any Inf
+    makes the mean non-finite, which becomes NULL; no values -> NULL."""
+    d = finite_decimal(c)
+    return F.when(F.count(F.when(is_inf(c), 1)) == 0, exact_mean_of(F.sum(d), F.count(d)))
 
 
 def half_even(c: ColumnOrName, digits: int = 0) -> Column:

@@ -40,19 +40,25 @@ def _cnt_col(m: str) -> str:
     return f"__n_{m}"
 
 
+def _inf_col(m: str) -> str:
+    return f"__i_{m}"
+
+
 def cell_sums(item_prices: DataFrame, measures: Sequence[str] | None = None) -> DataFrame:
-    """Per finest cell: sum and count of each measure (NaN skipped, Inf kept)."""
+    """Per finest cell: exact (decimal) sum and count of each measure's finite
+    values, and the number of infinite ones (NaN skipped)."""
     ms = list(measures or measure_columns(item_prices))
     aggs = []
     for m in ms:
-        v = X.nan_to_null(F.col(m))
-        aggs += [F.sum(v).alias(_sum_col(m)), F.count(v).alias(_cnt_col(m))]
+        d = X.finite_decimal(m)
+        aggs += [F.sum(d).alias(_sum_col(m)), F.count(d).alias(_cnt_col(m)),
+                 F.count(F.when(X.is_inf(m), 1)).alias(_inf_col(m))]
     return item_prices.groupBy(*CELL_KEYS).agg(*aggs)
 
 
 def _mean_from_cells(m: str) -> Column:
-    n = F.sum(_cnt_col(m))
-    return X.finite_or_null(F.when(n > 0, F.sum(_sum_col(m)) / n)).alias(m)
+    mean = X.exact_mean_of(F.sum(_sum_col(m)), F.sum(_cnt_col(m)))
+    return F.when(F.sum(_inf_col(m)) == 0, mean).alias(m)
 
 
 def area_means(item_prices: DataFrame, level: str,

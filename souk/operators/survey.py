@@ -97,7 +97,7 @@ def numeric_means(df: DataFrame, questions: Sequence[str],
         .where(F.col("x").isNotNull()) \
         .select(_areas(independent), "dependent_var", "x").select("area.*", "dependent_var", "x")
     g = long.groupBy("dependent_var", "independent_var", "independent_var_value").agg(
-        F.avg("x").alias("numbers"),
+        X.clean_mean("x").alias("numbers"),
         (F.stddev_samp("x") / F.sqrt(F.count("x"))).alias("se"))
     return g.select(
         "dependent_var", F.lit(None).cast("string").alias("dependent_var_value"),
