@@ -67,11 +67,26 @@ def cell_text(num: Column, text: Column, digits: int = 0) -> Column:
 
 def pivot_report(long: DataFrame, keys: Sequence[str] | None = None, digits: int = 0) -> DataFrame:
     """The long report -> one row, one column per key (J9 without any
-    cross product: every piece is unioned first, then pivoted once)."""
-    cells = long.select("key", cell_text(F.col("num"), F.col("str"), digits).alias("v"))
-    g = cells.groupBy()
-    p = g.pivot("key", list(keys)) if keys is not None else g.pivot("key")
-    return p.agg(F.first("v", ignorenulls=True))
+    cross product: every piece is unioned first, then turned once).
+
+    The report is a few thousand cells of already aggregated results.  They
+    are de-duplicated per key, gathered into one key-sorted array and read
+    back by position -- a pivot with thousands of values generates one
+    aggregate buffer per value and is far slower to plan and compile.  The
+    key list comes from the (small) cell table unless given.
+    """
+    cells = (long.groupBy("key")
+             .agg(F.first(cell_text(F.col("num"), F.col("str"), digits), ignorenulls=True).alias("v")))
+    if keys is None:
+        keys = [r[0] for r in cells.select("key").orderBy("key").collect()]
+    else:
+        keys = sorted(set(keys))
+        cells = cells.where(F.col("key").isin(keys))
+    row = cells.agg(F.array_sort(F.collect_list(F.struct("key", "v"))).alias("a"))
+    # one expression list handed over at once: per-column Column objects cost
+    # a round trip each
+    quote = lambda k: "`" + k.replace("`", "``") + "`"
+    return row.selectExpr(*[f"a[{i}].v AS {quote(k)}" for i, k in enumerate(keys)])
 
 
 def top_k(stats: DataFrame, variables: Sequence[str], areas: Sequence[str], k: int,

@@ -32,8 +32,12 @@ def market_round(spark: SparkSession, sf_dir: str) -> MarketRound:
 
 
 def compare_form(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[X.half_even(df[f"`{c}`"], digits).alias(c) if t in ("double", "float")
-                       else df[f"`{c}`"] for c, t in df.dtypes])
+    dtypes = df.dtypes
+    if not any(t in ("double", "float") for _, t in dtypes):
+        return df
+    quote = lambda k: "`" + k.replace("`", "``") + "`"
+    return df.selectExpr(*[f"bround({quote(c)}, {digits}) AS {quote(c)}" if t in ("double", "float")
+                           else quote(c) for c, t in dtypes])
 
 
 def _stacked_measures(df: DataFrame) -> list[str]:
