@@ -64,8 +64,14 @@ class MarketRound:
 
     @cached_property
     def obs(self) -> DataFrame:
-        s = self.settlements.groupBy("settlement").agg(F.min("district").alias("district"))
-        d = D.district_lookup(self.districts)
+        """M1.  The two lookups are one row per settlement / district; they
+        are written once so the planner sees their real size and broadcasts
+        them (under ``spark.sql.autoBroadcastJoinThreshold``) instead of
+        shuffling the observations; above it, the join falls back to a
+        sort-merge join on its own."""
+        s = materialize(self.settlements.groupBy("settlement").agg(F.min("district").alias("district")),
+                        "settlement_lookup")
+        d = materialize(D.district_lookup(self.districts), "district_lookup")
         return RD.stack_and_enrich(self.rounds, s, d, west_nile=config.BIND_WEST_NILE)
 
     @cached_property
@@ -161,10 +167,6 @@ class MarketRound:
         return C.merge_changes([C.with_lower_key(self.change_region, "regions"),
                                 C.with_lower_key(self.change_meb_region, "regions")], ["regions"])
 
-    @cached_property
-    def change_national_merged(self) -> DataFrame:
-        return C.merge_changes([self.change_national, self.change_meb_national], ["regions"])
-
     # ------------------------------------------------------------ survey
     @cached_property
     def survey_orders(self) -> DataFrame:
@@ -265,8 +267,10 @@ class MarketRound:
         sett = self._this(self.level_means("settlement")).drop(
             "month", "collection_order", "district", "regions", *drop_items)
         pieces.append(R.wide_to_long(sett, F.concat(F.col("settlement"), F.lit("_")), ["settlement"]))
-        nat_chg = self.change_national_merged.drop("regions")
-        pieces.append(R.wide_to_long(nat_chg, "national_"))
+        # national item and basket changes are one row each: unioned as cells,
+        # not joined (a join on the constant key would be a cross product)
+        pieces.append(R.wide_to_long(self.change_national.drop("regions"), "national_"))
+        pieces.append(R.wide_to_long(self.change_meb_national.drop("regions"), "national_"))
         pieces.append(self._by_region(self.change_region_merged))
         pieces.append(R.wide_to_long(self.change_settlement_merged,
                                      F.concat(F.col("settlement"), F.lit("_")), ["settlement"]))

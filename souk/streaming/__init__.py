@@ -1,0 +1,7 @@
+"""Streaming: none.
+
+The survey workflow is batch: a round is a file that arrives once a month and
+is re-pointed by hand.  There is no watermark, window, state or late-data
+logic to re-express, so this package holds no operators.  A new round is
+simply another input to ``souk.operators.rounds.stack_rounds``.
+"""
