@@ -108,7 +108,7 @@ class MarketRound:
 
     @cached_property
     def meb_baseline(self) -> DataFrame:
-        """The baseline round's basket table (the reference reads a precomputed
+        """The baseline round's basket table (the original workflow reads a precomputed
         one; here it is computed the same way from the baseline round)."""
         return B.meb(self.item_prices, [self.baseline_round], config.BIND_BASKET_ITEMS,
                      config.BIND_FOOD_TOTAL_ORDER)
@@ -294,7 +294,8 @@ class MarketRound:
         out = pieces[0]
         for p in pieces[1:]:
             out = out.unionByName(p)
-        return out
+        # written once: the one-row report reads it twice (its keys, its cells)
+        return materialize(out, "report_long")
 
     def _by_region(self, df: DataFrame) -> DataFrame:
         prefix = F.when(F.col("regions") == "south west", F.lit(AREA_PREFIX["south west"])) \

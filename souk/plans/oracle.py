@@ -490,7 +490,7 @@ DATA_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orde
 SEQ = "10000000000000"
 CLEAN_BASE = [
     ("cdata", "SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 101 = 0"),
-    ("clog", f"""SELECT 1 * {SEQ} + o_orderkey AS seq, CAST(o_orderkey AS VARCHAR) AS uuid, 'o_orderpriority' AS variable,
+    ("cleanlog", f"""SELECT 1 * {SEQ} + o_orderkey AS seq, CAST(o_orderkey AS VARCHAR) AS uuid, 'o_orderpriority' AS variable,
     '1-URGENT' AS new_value, CASE WHEN o_orderkey % 3 = 1 THEN 'TRUE' WHEN o_orderkey % 3 = 2 THEN 'FALSE' END AS change
   FROM orders WHERE o_orderkey % 7 = 0
   UNION ALL SELECT 2 * {SEQ} + o_orderkey, CAST(o_orderkey AS VARCHAR), 'o_orderpriority', CAST(NULL AS VARCHAR), 'TRUE'
@@ -504,7 +504,7 @@ CLEAN_BASE = [
     coalesce(TRY_CAST(l.change AS BOOLEAN), true) AS change,
     CASE WHEN c.n > 1 THEN 'duplicated_id' WHEN c.n IS NULL THEN 'unknown_id'
       WHEN l.variable NOT IN ({', '.join(lit(c) for c in sorted(DATA_COLS))}) THEN 'unknown_variable' END AS reason
-  FROM clog l LEFT JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS id, count(*) AS n FROM cdata GROUP BY 1) c
+  FROM cleanlog l LEFT JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS id, count(*) AS n FROM cdata GROUP BY 1) c
     ON l.uuid = c.id"""),
     ("accepted", "SELECT * FROM classified WHERE reason IS NULL AND change"),
     ("last_write", """SELECT uuid, variable, new_value FROM (

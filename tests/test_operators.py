@@ -157,7 +157,7 @@ def test_region_join_is_case_insensitive(spark):
 
 
 @pytest.fixture
-def clog_data(spark):
+def log_case(spark):
     data = spark.createDataFrame([(1, "a", 10.0), (2, "b", 20.0), (3, "c", 30.0), (3, "c", 30.0)],
                                  "id long, status string, price double")
     log = spark.createDataFrame([
@@ -171,8 +171,8 @@ def clog_data(spark):
     return data, log
 
 
-def test_cleaning_rules(spark, clog_data):
-    data, log = clog_data
+def test_cleaning_rules(spark, log_case):
+    data, log = log_case
     res = CL.apply_cleaning_log(data, log, "id")
     clean = sorted(map(tuple, res.clean.collect()))
     assert clean == [(1, "y", 10.0), (2, None, 20.0), (3, "c", 30.0), (3, "c", 30.0)]
@@ -182,8 +182,8 @@ def test_cleaning_rules(spark, clog_data):
     assert cl == {1: ("a", "x"), 2: ("a", "y"), 7: ("b", None)}
 
 
-def test_cleaning_no_change_is_identity(spark, clog_data):
-    data, log = clog_data
+def test_cleaning_no_change_is_identity(spark, log_case):
+    data, log = log_case
     res = CL.apply_cleaning_log(data, log.withColumn("change", F.lit("FALSE")), "id")
     assert sorted(map(tuple, res.clean.collect())) == sorted(map(tuple, data.collect()))
 
