@@ -97,7 +97,11 @@ def order_tag(month: str = "month") -> str:
 
 
 def r6(x: str) -> str:
-    return f"round_even({x}, 6)"
+    """Half-even at 6 decimals on the value's shortest decimal text -- the way
+    Spark's ``bround`` rounds a double -- so exact decimal ties (p / 32, ...)
+    fall the same way in both engines."""
+    return (f"(CASE WHEN isfinite({x}) THEN CAST(round_even(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,20)), 6) "
+            f"AS DOUBLE) ELSE {x} END)")
 
 
 def with_(ctes: list[tuple[str, str]], body: str) -> str:
@@ -482,8 +486,8 @@ LEFT JOIN (SELECT name, arg_min(label, seq) AS label FROM (
     SELECT CAST(n_nationkey AS BIGINT) AS seq, CAST(n_regionkey AS VARCHAR) AS name, n_name AS label FROM nation)
   GROUP BY name) l ON s.dependent_var_value = l.name"""
 
-AREA_BY_VAR = """PIVOT (SELECT independent_var_value, dependent_var || '.' || coalesce(dependent_var_value, 'NA') AS var,
-    numbers FROM stats) ON var USING first(numbers) GROUP BY independent_var_value"""
+AREA_BY_VAR = f"""PIVOT (SELECT independent_var_value, dependent_var || '.' || coalesce(dependent_var_value, 'NA') AS var,
+    {r6('numbers')} AS numbers FROM stats) ON var USING first(numbers) GROUP BY independent_var_value"""
 
 # ----------------------------------------------------------------- cleaning
 DATA_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -648,9 +652,7 @@ def build() -> dict[str, str]:
     top_cols = [c for k in top_keys() for c in (f"numbers_{k}", f"dependent_var_value_{k}")]
     out["pivot_two_values"] = _sql(sv + TOPK + [("p2", pivot_two_sql())],
                                    rounded(top_cols, "p2", [c for c in top_cols if c.startswith("numbers_")]))
-    out["area_by_var_wide"] = _sql(sv, "SELECT COLUMNS(lambda c: c = 'independent_var_value'), "
-                                   "round_even(COLUMNS(lambda c: c <> 'independent_var_value'), 6) "
-                                   f"FROM ({AREA_BY_VAR})")
+    out["area_by_var_wide"] = _sql(sv, f"SELECT * FROM ({AREA_BY_VAR})")
     out["unpivot_items"] = _sql(B + [("ms", level_sql("settlement"))],
                                 "SELECT settlement, var_name, " + r6("var_value") + " AS var_value FROM "
                                 "(SELECT settlement, " + ", ".join(PRICES) +
