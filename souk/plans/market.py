@@ -76,9 +76,12 @@ class MarketRound:
 
     @cached_property
     def item_prices(self) -> DataFrame:
-        """Written once: ten consumers (five levels, counts, medians) read it."""
+        """Written once (by month): the five levels, the counts and the
+        medians all read it, and the month filters of the basket and the
+        counts prune to their rounds."""
         return materialize(RD.item_prices(self.obs, self.this_round, self.last_round,
-                                          unit_items=config.BIND_UNIT_ITEMS), "item_prices")
+                                          unit_items=config.BIND_UNIT_ITEMS),
+                           "item_prices", partition_by=("month",))
 
     # ------------------------------------------------------------ means
     def means(self, level: str) -> DataFrame:

@@ -27,11 +27,19 @@ def checkpoint_root(spark: SparkSession) -> str | None:
     return d.rstrip("/") if d else None
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` once under the checkpoint folder and return a scan of it.
+
+    ``partition_by`` lays the files out by those columns, so later filters on
+    them prune whole directories.
+    """
     spark = df.sparkSession
     root = checkpoint_root(spark)
     if root is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{root}/souk-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.mode("overwrite").parquet(path)
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
     return spark.read.parquet(path)

@@ -11,18 +11,18 @@ them with plain joins (see README, "Test binding"):
 * cleaning: orders plus a copy of every 101st order, and a log built from
   order keys.
 
-Everything here is lazy; ``observations`` is persisted because eight
-consumers read it (the same choice as keeping the stacked rounds in memory).
+Everything here is lazy except the joined observations, which are written
+once (partitioned by month) because every price output reads them.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk import config
 from souk.functions import exprs as X
+from souk.sources.store import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +48,7 @@ def settlement_key(nation_name: Column, segment: Column) -> Column:
 # --------------------------------------------------------------------------
 
 def raw_observations(spark: SparkSession, sf_dir: str, months=config.ROUND_MONTHS,
-                     persist: bool = True) -> DataFrame:
+                     store: bool = True) -> DataFrame:
     """All line-level price observations of the bound rounds (wide)."""
     orders = (table(spark, sf_dir, "orders")
               .where(F.month("o_orderdate").isin(list(months)))
@@ -86,7 +86,9 @@ def raw_observations(spark: SparkSession, sf_dir: str, months=config.ROUND_MONTH
         F.when(q == 25, F.lit(0.0)).otherwise(q).alias("weight_economy"),
         F.when(q == 7, F.lit(99.0)).otherwise(q).alias("weight_large"),
     )
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
+    # written once, one directory per month: the rounds read back only their
+    # own month (partition pruning) and the four-way join never reruns
+    return materialize(out, "observations", partition_by=("month",)) if store else out
 
 
 def rounds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
