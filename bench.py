@@ -29,6 +29,7 @@ ORDER = [
     "pct_change_national", "pct_change_meb_settlement", "pct_change_meb_region",
     "pct_change_meb_national", "pct_change_merged", "share_select_one", "share_select_multiple",
     "numeric_mean_ci", "label_first_match", "top_answers", "area_scalars", "stat_format",
+    "attach_p_value",
     "flag_substring", "unpivot_items", "pivot_two_values", "area_by_var_wide",
     "cleaning_apply", "cleaning_changelog", "cleaning_rejects", "derive_followups",
     "report_long", "report_row",

@@ -87,9 +87,12 @@ def apply_cleaning_log(data: DataFrame, log: DataFrame, id_col: str = "uuid") ->
         out.append(F.when(w.isNotNull(), new).otherwise(F.col(c)).alias(c))
     clean = j.select(*out)
 
-    # changelog: the value each accepted row found before any write
+    # changelog: the value each accepted row found before any write.  Every
+    # accepted id occurs exactly once in the data (unknown and duplicated ids
+    # were rejected), so an inner join returns the same rows as a left join --
+    # and lets AQE split a hot id on either side.
     d = data.select(_id_text(data, id_col).alias("__id"), *variables)
-    cl = accepted.join(d, accepted["uuid"] == d["__id"], "left").select(
+    cl = accepted.join(d, accepted["uuid"] == d["__id"], "inner").select(
         F.col("variable"), F.col("uuid"), _old_value(F.col("variable"), variables).alias("old_value"),
         F.col("new_value"), F.col("change"), F.lit(id_col).alias("id_column"), F.col("seq"))
     return Cleaned(clean=clean, changelog=cl, rejects=classified.where(F.col("reason").isNotNull()),

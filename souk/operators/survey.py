@@ -126,6 +126,36 @@ def analyse(select_one: tuple[DataFrame, Sequence[str]] | None = None,
     return out
 
 
+PLAN_KINDS = ("select_one", "select_multiple", "numeric")
+
+
+def plan_questions(plan: DataFrame | Sequence[tuple[str, str]],
+                   var_col: str = "dependent_variable",
+                   kind_col: str = "dependent_variable_type") -> dict[str, list[str]]:
+    """The analysis plan as {kind: [question, ...]}.  A plan is a short table
+    of questions (metadata, like column names), so it is read on the driver."""
+    rows = plan if not isinstance(plan, DataFrame) else \
+        [(r[0], r[1]) for r in plan.select(var_col, kind_col).distinct().collect()]
+    out: dict[str, list[str]] = {k: [] for k in PLAN_KINDS}
+    for var, kind in rows:
+        if kind not in out:
+            raise ValueError(f"unknown question type {kind!r} for {var!r}")
+        if var not in out[kind]:
+            out[kind].append(var)
+    return out
+
+
+def analyse_plan(df: DataFrame, plan: DataFrame | Sequence[tuple[str, str]],
+                 independent: Sequence[str] = ("country", "regions")) -> DataFrame:
+    """M12 driven by an analysis plan: every planned question of ``df``,
+    grouped once per kind, one long summary table."""
+    qs = plan_questions(plan)
+    return analyse(select_one=(df, qs["select_one"]) if qs["select_one"] else None,
+                   select_multiple=(df, qs["select_multiple"]) if qs["select_multiple"] else None,
+                   numeric=(df, qs["numeric"]) if qs["numeric"] else None,
+                   independent=independent)
+
+
 def first_match_labels(choices: DataFrame, seq: str = "seq") -> DataFrame:
     """One label per code: the first in list order."""
     return choices.groupBy("name").agg(F.min_by("label", seq).alias("label"))

@@ -146,6 +146,7 @@ QUERIES: dict[str, Callable[[MarketRound], DataFrame]] = {
     "top_answers": lambda m: m.top_answers,
     "area_scalars": lambda m: m.area_scalars,
     "stat_format": q_stat_format,
+    "attach_p_value": lambda m: m.with_p_value,
     "unpivot_items": q_unpivot_items,
     "pivot_two_values": lambda m: m.top_wide,
     "area_by_var_wide": lambda m: R.area_by_var(m.stats),

@@ -201,6 +201,18 @@ class MarketRound:
     def categorical(self) -> DataFrame:
         return self.stats.where(~F.col("dependent_var").isin(list(config.BIND_NUMERIC)))
 
+    @cached_property
+    def tests(self) -> DataFrame:
+        """Hypothesis-test results per (question, grouping).  No test engine
+        runs here, so the table is empty and every p-value is NULL, as for an
+        analysis without a test."""
+        return self.spark.createDataFrame(
+            [], "dependent_var string, independent_var string, p_value double")
+
+    @cached_property
+    def with_p_value(self) -> DataFrame:
+        return S.attach_p_value(self.stats, self.tests)
+
     @cached_property
     def labelled(self) -> DataFrame:
         return S.label_choices(self.shares_one.where(F.col("dependent_var") == "home_region"),

@@ -648,6 +648,8 @@ def build() -> dict[str, str]:
     out["top_answers"] = _sql(sv + TOPK + [("tl", TOP_LONG)], f"SELECT key, {r6('num')} AS num, str FROM tl")
     out["area_scalars"] = _sql(sv + [("a", AREA_SCALARS)], f"SELECT key, {r6('num')} AS num, str FROM a")
     out["stat_format"] = _sql(sv, STAT_FORMAT)
+    out["attach_p_value"] = _sql(sv + [("pv", "SELECT *, CAST(NULL AS DOUBLE) AS p_value FROM stats")],
+                                 rounded(STAT_COLS + ["p_value"], "pv", STAT_DBL + ["p_value"]))
     out["flag_substring"] = _sql(sv, "SELECT uuid, event_types, mobile_accepted FROM se")
     top_cols = [c for k in top_keys() for c in (f"numbers_{k}", f"dependent_var_value_{k}")]
     out["pivot_two_values"] = _sql(sv + TOPK + [("p2", pivot_two_sql())],
