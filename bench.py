@@ -5,7 +5,9 @@ Runs every registered query in workflow order on ``$BENCH_SF_DIR`` (default
 completion into Spark's no-op sink (nothing is collected).  One warm-up run,
 then ``$BENCH_RUNS`` timed runs (default 3), each on a fresh workflow object
 so shared intermediates are rebuilt every run; per-query and total times are
-medians.  Prints one JSON line.
+medians.  Shuffle bytes written and stage counts per query come from Spark's
+event log of the last run, written to a fresh scratch folder.  Prints one
+JSON line.
 """
 
 from __future__ import annotations
@@ -42,30 +44,74 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     from souk.plans import catalog
     from souk.session import local_session
+    scratch = tempfile.mkdtemp(prefix="souk-bench-")
+    events = os.path.join(scratch, "events")
+    os.makedirs(events)
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8,
-                          app="souk-bench")
+                          app="souk-bench",
+                          extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": events,
+                                 "spark.eventLog.compress": "false",
+                                 "spark.eventLog.rolling.enabled": "false"})
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="souk-bench-"))
+        spark.conf.set("spark.checkpoint.dir", os.path.join(scratch, "checkpoints"))
     names = [n for n in ORDER if n in catalog.QUERIES] + \
         [n for n in catalog.QUERIES if n not in ORDER]
 
-    def one_run() -> dict[str, float]:
+    def one_run(tag: str) -> dict[str, float]:
         catalog._ROUNDS.clear()
         spark.catalog.clearCache()
         out = {}
         for name in names:
+            spark.sparkContext.setJobGroup(f"{tag}:{name}", name)
             t = time.perf_counter()
             catalog.run(name, spark, sf_dir, compare=False).write.format("noop").mode("overwrite").save()
             out[name] = time.perf_counter() - t
         return out
 
-    one_run()  # warm-up: JIT, file listing
-    timed = [one_run() for _ in range(runs)]
+    one_run("warmup")  # JIT, file listing
+    timed = [one_run(f"run{i}") for i in range(runs)]
     per_query = {n: round(statistics.median(r[n] for r in timed), 3) for n in names}
     totals = [sum(r.values()) for r in timed]
+    spark.stop()
+    shuffle, stages = shuffle_metrics(events, f"run{runs - 1}:")
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "workflow_total_sec", "value": round(statistics.median(totals), 3),
-                      "unit": "sec", "queries": per_query, "sf": sf, "cpus": cpus, "runs": runs}))
+                      "unit": "sec", "queries": per_query, "sf": sf, "cpus": cpus, "runs": runs,
+                      "shuffle_bytes_total": sum(shuffle.values()),
+                      "shuffle_bytes": shuffle, "stages": stages}))
+
+
+def shuffle_metrics(events_dir: str, prefix: str) -> tuple[dict[str, int], dict[str, int]]:
+    """Shuffle bytes written and completed stages per query (job group) of one
+    run, from the event log."""
+    stage_group: dict[int, str] = {}
+    shuffle: dict[str, int] = {}
+    stages: dict[str, int] = {}
+    files = [os.path.join(d, f) for d, _, fs in os.walk(events_dir) for f in fs
+             if not f.startswith("appstatus")]
+    for path in files:
+        with open(path) as fh:
+            for line in fh:
+                try:
+                    ev = json.loads(line)
+                except ValueError:
+                    continue
+                kind = ev.get("Event")
+                if kind == "SparkListenerJobStart":
+                    group = (ev.get("Properties") or {}).get("spark.jobGroup.id", "")
+                    if group.startswith(prefix):
+                        for sid in ev.get("Stage IDs", []):
+                            stage_group[sid] = group[len(prefix):]
+                elif kind == "SparkListenerStageCompleted":
+                    info = ev["Stage Info"]
+                    name = stage_group.get(info["Stage ID"])
+                    if name is None:
+                        continue
+                    stages[name] = stages.get(name, 0) + 1
+                    for acc in info.get("Accumulables", []):
+                        if acc.get("Name") == "internal.metrics.shuffle.write.bytesWritten":
+                            shuffle[name] = shuffle.get(name, 0) + int(acc.get("Value", 0))
+    return shuffle, stages
 
 
 if __name__ == "__main__":

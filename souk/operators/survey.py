@@ -163,9 +163,9 @@ def first_match_labels(choices: DataFrame, seq: str = "seq") -> DataFrame:
 
 def label_choices(stats: DataFrame, choices: DataFrame, keep_unmatched: bool = False) -> DataFrame:
     """Answer codes -> labels by first match; an unknown code becomes NULL
-    (or stays, with ``keep_unmatched``).  The label table is one row per
-    code of a questionnaire and is broadcast."""
-    lab = F.broadcast(first_match_labels(choices))
+    (or stays, with ``keep_unmatched``).  The label table is one row per code
+    of a questionnaire; the planner broadcasts it when its size allows."""
+    lab = first_match_labels(choices)
     j = stats.join(lab, stats["dependent_var_value"] == lab["name"], "left")
     val = F.coalesce(F.col("label"), F.col("dependent_var_value")) if keep_unmatched \
         else F.col("label")

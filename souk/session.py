@@ -13,8 +13,11 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "souk") -> SparkSession:
-    spark = (SparkSession.builder.master(f"local[{cores}]").appName(app)
+                  app: str = "souk", extra: dict[str, str] | None = None) -> SparkSession:
+    builder = SparkSession.builder
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
+    spark = (builder.master(f"local[{cores}]").appName(app)
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
