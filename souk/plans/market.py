@@ -272,6 +272,11 @@ class MarketRound:
 
     @cached_property
     def report_long(self) -> DataFrame:
+        """M16, written once: the one-row report reads it twice (its keys, its
+        cells)."""
+        return materialize(self.report_cells(), "report_long")
+
+    def report_cells(self) -> DataFrame:
         """Every report cell as (key, num, str), in the template's order."""
         drop_items = ["price_nails"]
         pieces = []
@@ -309,8 +314,7 @@ class MarketRound:
         out = pieces[0]
         for p in pieces[1:]:
             out = out.unionByName(p)
-        # written once: the one-row report reads it twice (its keys, its cells)
-        return materialize(out, "report_long")
+        return out
 
     def _by_region(self, df: DataFrame) -> DataFrame:
         prefix = F.when(F.col("regions") == "south west", F.lit(AREA_PREFIX["south west"])) \
