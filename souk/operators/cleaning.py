@@ -51,6 +51,19 @@ def classify_log(data: DataFrame, log: DataFrame, id_col: str) -> DataFrame:
                     X.to_flag(F.col("change")).alias("change"), reason.alias("reason"))
 
 
+def duplicate_ids(data: DataFrame, id_col: str) -> DataFrame:
+    """Ids occurring more than once in the data (A14), with their count."""
+    return (data.groupBy(_id_text(data, id_col).alias("uuid")).agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") > 1))
+
+
+def missing_ids(log: DataFrame, data: DataFrame, id_col: str) -> DataFrame:
+    """Distinct log ids that the data does not contain (J5, anti-join): the
+    check to run before cleaning."""
+    ids = data.select(_id_text(data, id_col).alias("uuid"))
+    return log.select("uuid").distinct().join(ids, "uuid", "left_anti")
+
+
 def rejects(data: DataFrame, log: DataFrame, id_col: str) -> DataFrame:
     """Rejected log rows and why."""
     return classify_log(data, log, id_col).where(F.col("reason").isNotNull())

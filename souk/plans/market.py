@@ -23,6 +23,7 @@ from souk.operators import means as M
 from souk.operators import reshape as R
 from souk.operators import rounds as RD
 from souk.operators import survey as S
+from souk.sources import files as FS
 from souk.sources import tpch
 from souk.sources.store import materialize
 
@@ -324,3 +325,42 @@ class MarketRound:
     @cached_property
     def report_row(self) -> DataFrame:
         return R.pivot_report(self.report_long)
+
+    # ------------------------------------------------------------ export
+    def price_tables(self) -> dict[str, DataFrame]:
+        """The means-and-change workbook: nine tables."""
+        return {
+            "Market mean price": self.level_means("market"),
+            "Settlement mean price": self.level_means("settlement"),
+            "District Mean": self.level_means("district"),
+            "Region mean": self.level_means("region"),
+            "National level mean": self.level_means("national"),
+            "Percent change Settlement": self.change_settlement_merged,
+            "Percent change Region": self.change_region_merged,
+            "Percent change National": self.change_national,
+            "Rank settlements": self.rank,
+        }
+
+    def basket_tables(self) -> dict[str, DataFrame]:
+        """The basket workbook: six tables."""
+        return {
+            "Settlement MEB": self.meb,
+            "Regional MEB": self.meb_regional,
+            "National MEB": self.meb_national,
+            "Percent change MEB Settlment": self.change_meb_settlement,
+            "Percent change MEB Regional": self.change_meb_region,
+            "Percent change MEB National": self.change_meb_national,
+        }
+
+    def export(self, base: str, run_date: str) -> dict[str, str]:
+        """Write every output of a round (S6-S8): the two table sets as one
+        directory per table, the analysis table and the one-row report as CSV
+        with ``n/a`` for missing values."""
+        paths = {}
+        paths.update(FS.write_tables(self.price_tables(), f"{base}/means_and_change", run_date))
+        paths.update(FS.write_tables(self.basket_tables(), f"{base}/meb_and_change", run_date))
+        FS.write_summary(self.stats, f"{base}/analysis_{run_date}")
+        paths["analysis"] = f"{base}/analysis_{run_date}"
+        FS.write_csv(self.report_row, f"{base}/report_{run_date}")
+        paths["report"] = f"{base}/report_{run_date}"
+        return paths

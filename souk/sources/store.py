@@ -41,5 +41,10 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    try:
+        w.parquet(path)
+    except Exception as exc:  # an unwritable folder is a setup problem, not a data one
+        if "Permission denied" not in str(exc) and "AccessDenied" not in str(exc):
+            raise
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     return spark.read.parquet(path)

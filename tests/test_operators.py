@@ -262,3 +262,9 @@ def test_centroid_union(spark):
                               "OBJECTID int, NAME0 string, DISTRICT string, Longitude double, Latitude double")
     out = {r.settlement: r for r in D.prepare_settlements(s, "adj").collect()}
     assert out["adj"].longitude == 15.0 and out["adj"].latitude == 2.0 and len(out) == 4
+
+
+def test_duplicate_and_missing_ids(spark, log_case):
+    data, log = log_case
+    assert [tuple(r) for r in CL.duplicate_ids(data, "id").collect()] == [("3", 2)]
+    assert [r.uuid for r in CL.missing_ids(log, data, "id").collect()] == ["9"]

@@ -39,3 +39,13 @@ def test_read_cleaning_log(spark, tmp_path):
     log = files.read_cleaning_log(spark, str(p))
     assert log.columns == ["seq", "uuid", "variable", "new_value", "change"]
     assert log.orderBy("seq").select("uuid").collect()[0][0] == "u1"
+
+
+def test_export_writes_every_table(spark, tmp_path):
+    from conftest import SF_SMALL
+    from souk.plans.catalog import market_round
+    m = market_round(spark, SF_SMALL)
+    paths = m.export(str(tmp_path), "2020-10-30")
+    assert len(paths) == 9 + 6 + 2
+    report = spark.read.option("header", True).csv(paths["report"])
+    assert report.count() == 1 and len(report.columns) > 100
