@@ -44,10 +44,9 @@ def prepare_districts(districts: DataFrame, name_col: str = "DName2019") -> Data
 
 
 def settlement_lookup(settlements: DataFrame) -> DataFrame:
-    """settlement -> district, one row per settlement (first district by id)."""
-    return (settlements.select("settlement", "district", "objectid")
-            .groupBy("settlement")
-            .agg(F.min_by("district", "objectid").alias("district")))
+    """settlement -> district, one row per settlement (the smallest district
+    name if a list repeats a settlement)."""
+    return settlements.groupBy("settlement").agg(F.min("district").alias("district"))
 
 
 def district_lookup(districts: DataFrame) -> DataFrame:

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from souk.functions import exprs as X
 
-LONG_COLS = ["key", "num", "str"]
-
-
 def unpivot(df: DataFrame, ids: Sequence[str], var_name: str = "var_name",
             value_name: str = "var_value", values: Sequence[str] | None = None) -> DataFrame:
     """Wide -> long."""

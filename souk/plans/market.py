@@ -70,8 +70,7 @@ class MarketRound:
         them (under ``spark.sql.autoBroadcastJoinThreshold``) instead of
         shuffling the observations; above it, the join falls back to a
         sort-merge join on its own."""
-        s = materialize(self.settlements.groupBy("settlement").agg(F.min("district").alias("district")),
-                        "settlement_lookup")
+        s = materialize(D.settlement_lookup(self.settlements), "settlement_lookup")
         d = materialize(D.district_lookup(self.districts), "district_lookup")
         return RD.stack_and_enrich(self.rounds, s, d, west_nile=config.BIND_WEST_NILE)
 

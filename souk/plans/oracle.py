@@ -582,9 +582,6 @@ SELECT regions, count(*), CAST(sum(n) AS BIGINT) FROM cells GROUP BY regions"""
 CELLS = f"SELECT regions, market_final, count(*) AS n FROM ip WHERE month = {lit(config.THIS_ROUND)} GROUP BY 1, 2"
 
 # ----------------------------------------------------------------- queries
-PRICE_DBL = PRICES
-
-
 def _sql(ctes: list[tuple[str, str]], body: str) -> str:
     return with_(ctes, body)
 

@@ -268,3 +268,18 @@ def test_duplicate_and_missing_ids(spark, log_case):
     data, log = log_case
     assert [tuple(r) for r in CL.duplicate_ids(data, "id").collect()] == [("3", 2)]
     assert [r.uuid for r in CL.missing_ids(log, data, "id").collect()] == ["9"]
+
+
+def test_keep_present_semi_join(spark, prices):
+    base = prices.where("collection_order = 3")
+    got = {r.settlement for r in C.keep_present(prices.where("collection_order = 4"), base,
+                                                ["settlement"]).collect()}
+    assert got == {"s1", "s3"}
+
+
+def test_name_level_helpers(spark):
+    from souk.functions import names as N
+    df = spark.createDataFrame([("a", 1.0, 2)], "k string, x double, n int")
+    assert N.numeric_columns(df) == ["x", "n"]
+    assert N.add_prefix(df, "national_", skip=["k"]).columns == ["k", "national_x", "national_n"]
+    assert N.keys_first(df, ["n"]).columns == ["n", "k", "x"]
