@@ -1,11 +1,13 @@
 """Survey tabulation (M12, M13, M15, M20, F22; A16-A18).
 
-Answers are unpivoted once to long form (respondent, area, question,
-answer) and grouped once; shares divide by the per-question respondent
-count of the area.  Each respondent is counted in two areas, the country
-and its region, so the long form is the answers times two -- the map-side
-partial aggregation folds that to one row per (question, area, answer)
-before any shuffle.
+Answers are unpivoted once to long form (respondent, grouping columns,
+question, answer) and grouped once by (question, answer, every grouping
+column) -- map-side partial aggregation folds that to a handful of rows per
+task before any shuffle.  Each grouping's counts (country, region) are then
+sums over that small table, so the raw answers are never duplicated per
+grouping.  Shares divide by the per-question respondent count of the area.
+Numeric means keep one row per (grouping, value) since their standard error
+is not a sum of per-region parts.
 
 The long ``summary_stats`` contract: dependent_var, dependent_var_value,
 independent_var, independent_var_value, numbers, se, min, max, repeat_var,
@@ -32,14 +34,27 @@ def _areas(independent: Sequence[str]) -> Column:
                                for c in independent])).alias("area")
 
 
-def _long(df: DataFrame, questions: Sequence[str], independent: Sequence[str]) -> DataFrame:
-    """(uuid, independent_var, independent_var_value, dependent_var, answer)."""
+def _answers(df: DataFrame, questions: Sequence[str], independent: Sequence[str]) -> DataFrame:
+    """(uuid, *independent, dependent_var, answer), NULL answers dropped."""
     ids = ["uuid", *independent]
     long = df.select(*ids, *[F.col(q).cast("string").alias(q) for q in questions]) \
         .unpivot(ids, list(questions), "dependent_var", "answer")
-    return long.where(F.col("answer").isNotNull()).select(
-        "uuid", _areas(independent), "dependent_var", "answer") \
-        .select("uuid", "area.*", "dependent_var", "answer")
+    return long.where(F.col("answer").isNotNull())
+
+
+def _per_grouping(fine: DataFrame, keys: Sequence[str], independent: Sequence[str],
+                  sums: Sequence[str]) -> DataFrame:
+    """Counts per (grouping, value): a sum over the other grouping columns of
+    a table already grouped by all of them -- exact, and tiny."""
+    parts = []
+    for ind in independent:
+        parts.append(fine.groupBy(*keys, F.col(ind).cast("string").alias("independent_var_value"))
+                     .agg(*[F.sum(c).alias(c) for c in sums])
+                     .withColumn("independent_var", F.lit(ind)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _finish(counts: DataFrame) -> DataFrame:
@@ -57,11 +72,17 @@ def _finish(counts: DataFrame) -> DataFrame:
 
 def select_one_shares(df: DataFrame, questions: Sequence[str],
                       independent: Sequence[str] = ("country", "regions")) -> DataFrame:
-    """Share of each answer among the area's respondents to the question."""
-    long = _long(df, questions, independent)
-    counts = long.groupBy("dependent_var", "independent_var", "independent_var_value",
-                          F.col("answer").alias("dependent_var_value")) \
+    """Share of each answer among the area's respondents to the question.
+
+    The answers are counted once per (question, answer, every grouping
+    column); each grouping's counts are sums over that small table, so the
+    raw answers are never multiplied by the number of groupings.
+    """
+    ind = list(independent)
+    fine = _answers(df, questions, ind).groupBy("dependent_var", "answer", *ind) \
         .agg(F.count(F.lit(1)).alias("n"))
+    counts = _per_grouping(fine, ["dependent_var", F.col("answer").alias("dependent_var_value")],
+                           ind, ["n"])
     w = Window.partitionBy("dependent_var", "independent_var", "independent_var_value")
     return _finish(counts.withColumn("base", F.sum("n").over(w)))
 
@@ -74,15 +95,16 @@ def select_multiple_shares(df: DataFrame, questions: Sequence[str],
     Options of one answer are de-duplicated first, so a plain count equals a
     distinct-respondent count and stays map-side reducible.
     """
-    long = _long(df, questions, independent)
-    opts = long.select("dependent_var", "independent_var", "independent_var_value", "uuid",
-                       F.explode(F.array_distinct(F.split("answer", sep))).alias("option"))
-    counts = opts.where(F.col("option") != "") \
-        .groupBy("dependent_var", "independent_var", "independent_var_value",
-                 F.col("option").alias("dependent_var_value")) \
+    ind = list(independent)
+    ans = _answers(df, questions, ind)
+    opts = ans.select("dependent_var", *ind,
+                      F.explode(F.array_distinct(F.split("answer", sep))).alias("option"))
+    fine = opts.where(F.col("option") != "").groupBy("dependent_var", "option", *ind) \
         .agg(F.count(F.lit(1)).alias("n"))
-    base = long.groupBy("dependent_var", "independent_var", "independent_var_value") \
-        .agg(F.count(F.lit(1)).alias("base"))
+    counts = _per_grouping(fine, ["dependent_var", F.col("option").alias("dependent_var_value")],
+                           ind, ["n"])
+    fine_base = ans.groupBy("dependent_var", *ind).agg(F.count(F.lit(1)).alias("base"))
+    base = _per_grouping(fine_base, ["dependent_var"], ind, ["base"])
     j = counts.join(base, ["dependent_var", "independent_var", "independent_var_value"])
     return _finish(j)
 
