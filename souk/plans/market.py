@@ -311,9 +311,11 @@ class MarketRound:
         pieces.append(R.to_long(self.rank, F.concat(F.lit("expansive_rank_"),
                                                     F.col("rank").cast("string")),
                                 text=F.col("settlement")))
+        # every piece is (key, num, str) in that order: a positional union
+        # needs no name matching
         out = pieces[0]
         for p in pieces[1:]:
-            out = out.unionByName(p)
+            out = out.union(p)
         return out
 
     def _by_region(self, df: DataFrame) -> DataFrame:

@@ -48,3 +48,14 @@ def test_p_value_is_null_without_tests(spark):
     m = market_round(spark, SF_SMALL)
     assert m.with_p_value.where(F.col("p_value").isNotNull()).count() == 0
     assert m.with_p_value.count() == m.stats.count()
+
+
+def test_without_checkpoint_folder_results_are_equal(spark, monkeypatch):
+    from souk.plans import catalog
+    from souk.plans.market import MarketRound
+    from souk.sources import store
+    want = sorted(map(tuple, catalog.run("basket_region", spark, SF_SMALL).collect()), key=str)
+    monkeypatch.setattr(store, "checkpoint_root", lambda _spark: None)
+    m = MarketRound(spark, SF_SMALL)
+    got = sorted(map(tuple, catalog.compare_form(m.meb_regional).collect()), key=str)
+    assert got == want
