@@ -1,9 +1,11 @@
 """The whole market-monitoring workflow on one data set, as lazy DataFrames.
 
 ``MarketRound`` wires the operators together for the test binding
-(``souk.sources.tpch``).  Every attribute is a lazy plan; nothing runs until
-a caller acts on one.  The observation table is persisted by the binding,
-since the means, counts, basket and change tables all read it.
+(``souk.sources.tpch``).  Attributes are lazy plans, except the tables that
+many outputs share (observations, item prices, lookups, the five-level means,
+the basket, the survey statistics, the long report): those are written once
+under the checkpoint folder when first used, and every later plan starts
+from their scan.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk import config
+from souk.functions import exprs as X
 from souk.operators import basket as B
 from souk.operators import change as C
 from souk.operators import cleaning as CL
@@ -48,7 +51,7 @@ class MarketRound:
     def stacked(self) -> DataFrame:
         """U1 + F7 + P9 + F18: the three rounds, month named, order tagged."""
         df = RD.stack_rounds(self.rounds)
-        df = df.withColumn("month", RD.X.month_name(F.col("month"))).where(F.col("month").isNotNull())
+        df = df.withColumn("month", X.month_name(F.col("month"))).where(F.col("month").isNotNull())
         order = (F.when(F.col("month") == self.this_round, F.lit(config.ORDER_THIS))
                  .when(F.col("month") == self.last_round, F.lit(config.ORDER_LAST))
                  .otherwise(F.lit(config.ORDER_OTHER)))
@@ -239,7 +242,7 @@ class MarketRound:
         cat = self.categorical
         t = R.top_k(cat, config.BIND_TOP3_VARS, config.REPORT_AREAS, 3).unionByName(
             R.top_k(cat, config.BIND_TOP2_VARS, config.REPORT_AREAS, 2))
-        t = t.select(R.X.paste("independent_var_value", "dependent_var", "rank").alias("new_var"),
+        t = t.select(X.paste("independent_var_value", "dependent_var", "rank").alias("new_var"),
                      (F.col("numbers") * 100).alias("numbers"), "dependent_var_value")
         keys = [f"{a}_{v}_{r}" for a, v, r in self.top_keys()]
         p = t.groupBy().pivot("new_var", keys).agg(
