@@ -47,4 +47,6 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
         if "Permission denied" not in str(exc) and "AccessDenied" not in str(exc):
             raise
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    return spark.read.parquet(path)
+    # the schema is known: no footer reading to infer it (partition columns
+    # come back last, by name)
+    return spark.read.schema(df.schema).parquet(path)
