@@ -21,9 +21,14 @@ _RUN = uuid.uuid4().hex[:12]
 
 
 def checkpoint_root(spark: SparkSession) -> str | None:
+    """The shared folder named by the session (``spark.checkpoint.dir``, or
+    the context's checkpoint directory); None if there is none."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # no JVM context (e.g. a Spark Connect session)
+            d = None
     return d.rstrip("/") if d else None
 
 
