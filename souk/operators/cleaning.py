@@ -12,7 +12,7 @@ Rules, in order:
 Distributed form: the data ids are counted once (map-side partial
 aggregation), the log is joined to those counts to classify every row, the
 accepted rows are reduced to one "last write" per (id, column), folded to one
-row per id, and left-joined to the data on id.  Nothing is collected; a
+column -> value map per id, and left-joined to the data on id.  Nothing is collected; a
 hot id is handled by the partial aggregations and AQE's skew-join split.
 """
 
@@ -83,21 +83,23 @@ def apply_cleaning_log(data: DataFrame, log: DataFrame, id_col: str = "uuid") ->
     accepted = classified.where(F.col("reason").isNull() & F.col("change"))
     variables = [c for c in data.columns if c != id_col]
 
-    # last write per (id, column), then one row per id with a struct per column
-    last = accepted.groupBy("uuid", "variable").agg(
-        F.max_by(F.struct(F.col("new_value").alias("v")), "seq").alias("w"))
-    per_id = last.groupBy("uuid").agg(*[
-        F.max(F.when(F.col("variable") == c, F.col("w"))).alias(f"__w_{c}") for c in variables])
+    # last write per (id, column), then one map per id: column -> new value.
+    # The map holds at most one entry per column, whatever the log's length,
+    # and one aggregate serves any number of columns.
+    last = accepted.groupBy("uuid", "variable").agg(F.max_by("new_value", "seq").alias("v"))
+    per_id = last.groupBy("uuid").agg(
+        F.map_from_entries(F.collect_list(F.struct("variable", "v"))).alias("__writes"))
     j = data.join(per_id, _id_text(data, id_col) == per_id["uuid"], "left")
     dtypes = dict(data.dtypes)
+    m = F.col("__writes")
     out = []
     for c in data.columns:
         if c == id_col:
             out.append(F.col(c))
             continue
-        w = F.col(f"__w_{c}")
-        new = w["v"] if dtypes[c] == "string" else w["v"].try_cast(dtypes[c])
-        out.append(F.when(w.isNotNull(), new).otherwise(F.col(c)).alias(c))
+        new = m[c] if dtypes[c] == "string" else m[c].try_cast(dtypes[c])
+        # map_contains_key, not coalesce: a NULL new value really nulls the cell
+        out.append(F.when(F.map_contains_key(m, F.lit(c)), new).otherwise(F.col(c)).alias(c))
     clean = j.select(*out)
 
     # changelog: the value each accepted row found before any write.  Every
