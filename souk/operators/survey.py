@@ -44,17 +44,20 @@ def _answers(df: DataFrame, questions: Sequence[str], independent: Sequence[str]
 
 def _per_grouping(fine: DataFrame, keys: Sequence[str], independent: Sequence[str],
                   sums: Sequence[str]) -> DataFrame:
-    """Counts per (grouping, value): a sum over the other grouping columns of
-    a table already grouped by all of them -- exact, and tiny."""
-    parts = []
-    for ind in independent:
-        parts.append(fine.groupBy(*keys, F.col(ind).cast("string").alias("independent_var_value"))
-                     .agg(*[F.sum(c).alias(c) for c in sums])
-                     .withColumn("independent_var", F.lit(ind)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Counts per (grouping, value): sums over the other grouping columns of a
+    table already grouped by all of them -- exact, tiny, and one GROUPING SETS
+    pass, so ``fine`` is computed once."""
+    ind = list(independent)
+    sets = [[*keys, i] for i in ind]
+    g = fine.groupingSets(sets, *keys, *ind).agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.grouping(i).alias(f"__g_{i}") for i in ind])
+    var, val = None, None
+    for i in ind:
+        hit = F.col(f"__g_{i}") == 0
+        var = F.when(hit, F.lit(i)) if var is None else var.when(hit, F.lit(i))
+        v = F.col(i).cast("string")
+        val = F.when(hit, v) if val is None else val.when(hit, v)
+    return g.select(*keys, var.alias("independent_var"), val.alias("independent_var_value"), *sums)
 
 
 def _finish(counts: DataFrame) -> DataFrame:
@@ -79,10 +82,10 @@ def select_one_shares(df: DataFrame, questions: Sequence[str],
     raw answers are never multiplied by the number of groupings.
     """
     ind = list(independent)
-    fine = _answers(df, questions, ind).groupBy("dependent_var", "answer", *ind) \
+    fine = _answers(df, questions, ind) \
+        .groupBy("dependent_var", F.col("answer").alias("dependent_var_value"), *ind) \
         .agg(F.count(F.lit(1)).alias("n"))
-    counts = _per_grouping(fine, ["dependent_var", F.col("answer").alias("dependent_var_value")],
-                           ind, ["n"])
+    counts = _per_grouping(fine, ["dependent_var", "dependent_var_value"], ind, ["n"])
     w = Window.partitionBy("dependent_var", "independent_var", "independent_var_value")
     return _finish(counts.withColumn("base", F.sum("n").over(w)))
 
@@ -93,20 +96,21 @@ def select_multiple_shares(df: DataFrame, questions: Sequence[str],
     """Share of the area's respondents who name each option.
 
     Options of one answer are de-duplicated first, so a plain count equals a
-    distinct-respondent count and stays map-side reducible.
+    distinct-respondent count and stays map-side reducible.  Each respondent's
+    first option also carries the respondent itself (``pos = 0``), so option
+    counts and the respondent base come out of the same single pass.
     """
     ind = list(independent)
     ans = _answers(df, questions, ind)
     opts = ans.select("dependent_var", *ind,
-                      F.explode(F.array_distinct(F.split("answer", sep))).alias("option"))
-    fine = opts.where(F.col("option") != "").groupBy("dependent_var", "option", *ind) \
-        .agg(F.count(F.lit(1)).alias("n"))
-    counts = _per_grouping(fine, ["dependent_var", F.col("option").alias("dependent_var_value")],
-                           ind, ["n"])
-    fine_base = ans.groupBy("dependent_var", *ind).agg(F.count(F.lit(1)).alias("base"))
-    base = _per_grouping(fine_base, ["dependent_var"], ind, ["base"])
-    j = counts.join(base, ["dependent_var", "independent_var", "independent_var_value"])
-    return _finish(j)
+                      F.posexplode(F.array_distinct(F.split("answer", sep))).alias("pos", "option"))
+    fine = opts.groupBy("dependent_var", F.col("option").alias("dependent_var_value"), *ind).agg(
+        F.count(F.when(F.col("option") != "", 1)).alias("n"),
+        F.count(F.when(F.col("pos") == 0, 1)).alias("b"))
+    counts = _per_grouping(fine, ["dependent_var", "dependent_var_value"], ind, ["n", "b"])
+    w = Window.partitionBy("dependent_var", "independent_var", "independent_var_value")
+    with_base = counts.withColumn("base", F.sum("b").over(w)).where(F.col("n") > 0)
+    return _finish(with_base)
 
 
 def numeric_means(df: DataFrame, questions: Sequence[str],
