@@ -191,33 +191,42 @@ def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def cleaning_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders, with every 101st order present twice (duplicated ids) -- one
+    scan: each row is exploded into its number of copies."""
     o = table(spark, sf_dir, "orders")
-    return o.unionByName(o.where(F.col("o_orderkey") % 101 == 0))
+    copies = F.when(F.col("o_orderkey") % 101 == 0, F.lit(2)).otherwise(F.lit(1))
+    return o.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).drop("__copy")
 
 
 SEQ_BLOCK = 10 ** 13
 
 
 def cleaning_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log rows (seq, uuid, variable, new_value, change) in four blocks."""
+    """Log rows (seq, uuid, variable, new_value, change) in four blocks, plus
+    one unknown id -- one scan of the order keys: every key is exploded into
+    the log rows of the blocks it belongs to."""
     k = F.col("o_orderkey")
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
 
-    def block(n: int, cond: Column, variable: str, value, change: Column) -> DataFrame:
-        return o.where(cond).select(
-            (F.lit(n * SEQ_BLOCK) + k).alias("seq"),
-            k.cast("string").alias("uuid"),
-            F.lit(variable).alias("variable"),
-            F.lit(value).cast("string").alias("new_value"),
-            change.cast("string").alias("change"))
+    def entry(n: int, cond: Column, variable: str, value, change: Column) -> Column:
+        row = F.struct((F.lit(n * SEQ_BLOCK) + k).alias("seq"),
+                       k.cast("string").alias("uuid"),
+                       F.lit(variable).alias("variable"),
+                       F.lit(value).cast("string").alias("new_value"),
+                       change.cast("string").alias("change"))
+        return F.when(cond, row)
 
     chg1 = F.when(k % 3 == 1, F.lit("TRUE")).when(k % 3 == 2, F.lit("FALSE"))
-    b1 = block(1, k % 7 == 0, "o_orderpriority", "1-URGENT", chg1)
-    b2 = block(2, k % 14 == 0, "o_orderpriority", None, F.lit("TRUE"))
-    b3 = block(3, k % 21 == 0, "no_such_column", "x", F.lit("TRUE"))
-    b4 = block(4, k % 7 == 0, "o_orderstatus", "F", F.lit("TRUE"))
+    entries = F.array(
+        entry(1, k % 7 == 0, "o_orderpriority", "1-URGENT", chg1),
+        entry(2, k % 14 == 0, "o_orderpriority", None, F.lit("TRUE")),
+        entry(3, k % 21 == 0, "no_such_column", "x", F.lit("TRUE")),
+        entry(4, k % 7 == 0, "o_orderstatus", "F", F.lit("TRUE")))
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    log = (o.where((k % 7 == 0) | (k % 21 == 0))
+           .select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
+           .select("e.*"))
     unknown = spark.range(1).select(
         F.lit(5 * SEQ_BLOCK).alias("seq"), F.lit("10000000").alias("uuid"),
         F.lit("o_orderstatus").alias("variable"), F.lit("F").alias("new_value"),
         F.lit("TRUE").alias("change"))
-    return b1.unionByName(b2).unionByName(b3).unionByName(b4).unionByName(unknown)
+    return log.unionByName(unknown)
