@@ -176,11 +176,15 @@ class MarketRound:
     # ------------------------------------------------------------ survey
     @cached_property
     def survey_orders(self) -> DataFrame:
-        return tpch.survey_orders(self.spark, self.sf_dir)
+        """Respondent table of the select-one and numeric answers, written
+        once: shares, numeric means, labels and the statistics all read it."""
+        return materialize(tpch.survey_orders(self.spark, self.sf_dir), "survey_orders")
 
     @cached_property
     def survey_events(self) -> DataFrame:
-        return tpch.survey_events(self.spark, self.sf_dir)
+        """Respondent table of the select-multiple answers (one row per user
+        and day), written once for the same reason."""
+        return materialize(tpch.survey_events(self.spark, self.sf_dir), "survey_events")
 
     @cached_property
     def shares_one(self) -> DataFrame:
