@@ -83,7 +83,9 @@ def item_prices(obs: DataFrame, this_round: str = config.THIS_ROUND,
     order = (F.when(F.col("month") == this_round, F.lit(config.ORDER_THIS))
              .when(F.col("month") == last_round, F.lit(config.ORDER_LAST))
              .otherwise(F.lit(config.ORDER_OTHER)))
-    return obs.select(*PRICE_KEYS, *[cols[m].alias(m) for m in keep],
+    keys = [F.col(k) if k in obs.columns else F.lit(None).cast("string").alias(k)
+            for k in PRICE_KEYS]   # a round without ids (the baseline file has none)
+    return obs.select(*keys, *[cols[m].alias(m) for m in keep],
                       order.alias("collection_order"))
 
 
