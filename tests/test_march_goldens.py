@@ -119,3 +119,17 @@ def test_beans_soap_milk_goldens(spark, march):
         assert means[s].price_beans == approx(bmean) and med[s].price_beans == approx(bmed), s
         assert means[s].price_soap == approx(soap) and means[s].price_milk == approx(milk), s
         assert means[s].price_oil == approx(oil), s
+
+
+def test_basket_on_march(spark, march):
+    from souk.operators import basket as B
+    _, ip = march
+    meb = {r.settlement: r for r in B.meb(ip, ["March"]).collect()}
+    adj = meb["adjumani"]
+    # soap median 3500 -> 3500 * 0.45 * 5 = 7875; hygiene = 6597 fixed + soap
+    assert adj.meb_soap == 7875 and adj.meb_hygiene == 6597 + 7875
+    assert adj.meb_other_hdd == 5961  # 71533 / 12 rounded half-even
+    # March has no dodo/cassava/fish weights, so those unit prices -- and the
+    # food and full totals -- stay NULL (nothing to fill them from)
+    assert all(r.meb_food is None and r.meb_full is None for r in meb.values())
+    assert "price_soap" not in B.meb(ip, ["March"]).columns
