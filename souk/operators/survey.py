@@ -182,16 +182,22 @@ def analyse_plan(df: DataFrame, plan: DataFrame | Sequence[tuple[str, str]],
                    independent=independent)
 
 
-def first_match_labels(choices: DataFrame, seq: str = "seq") -> DataFrame:
-    """One label per code: the first in list order."""
+def first_match_labels(choices: DataFrame, seq: str = "seq",
+                       list_name: str | None = None) -> DataFrame:
+    """One label per code: the first in list order (J8).  With ``list_name``
+    only that choice list is searched (a code shared by two lists then gets
+    its own list's label)."""
+    if list_name is not None:
+        choices = choices.where(F.col("list_name") == list_name)
     return choices.groupBy("name").agg(F.min_by("label", seq).alias("label"))
 
 
-def label_choices(stats: DataFrame, choices: DataFrame, keep_unmatched: bool = False) -> DataFrame:
+def label_choices(stats: DataFrame, choices: DataFrame, keep_unmatched: bool = False,
+                  list_name: str | None = None) -> DataFrame:
     """Answer codes -> labels by first match; an unknown code becomes NULL
     (or stays, with ``keep_unmatched``).  The label table is one row per code
     of a questionnaire; the planner broadcasts it when its size allows."""
-    lab = first_match_labels(choices)
+    lab = first_match_labels(choices, list_name=list_name)
     j = stats.join(lab, stats["dependent_var_value"] == lab["name"], "left")
     val = F.coalesce(F.col("label"), F.col("dependent_var_value")) if keep_unmatched \
         else F.col("label")

@@ -283,3 +283,11 @@ def test_name_level_helpers(spark):
     assert N.numeric_columns(df) == ["x", "n"]
     assert N.add_prefix(df, "national_", skip=["k"]).columns == ["k", "national_x", "national_n"]
     assert N.keys_first(df, ["n"]).columns == ["n", "k", "x"]
+
+
+def test_label_by_list_name(spark):
+    stats = spark.createDataFrame([("q", "1")], "dependent_var string, dependent_var_value string")
+    choices = spark.createDataFrame([(1, "other", "1", "wrong"), (2, "mine", "1", "right")],
+                                    "seq long, list_name string, name string, label string")
+    assert S.label_choices(stats, choices).first().dependent_var_value == "wrong"
+    assert S.label_choices(stats, choices, list_name="mine").first().dependent_var_value == "right"
