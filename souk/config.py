@@ -92,6 +92,22 @@ MEAN_VARS = ("agents_number", "customer_number")
 SHARE_VARS = ("mobile_accepted", "vendor_number", "vendors_change", "safety",
               "item_scarcity", "stock_runout")
 
+# Report cell prefixes per region, and the labels of the national rows.
+REPORT_REGION_PREFIX = {"south west": "southwest_", "west nile": "westnile_"}
+NATIONAL_LABEL = "national"
+NATIONWIDE_LABEL = "nationwide"
+
+# Exported table names: the means-and-change set and the basket set.
+PRICE_TABLE_NAMES = (
+    "Market mean price", "Settlement mean price", "District Mean", "Region mean",
+    "National level mean", "Percent change Settlement", "Percent change Region",
+    "Percent change National", "Rank settlements",
+)
+BASKET_TABLE_NAMES = (
+    "Settlement MEB", "Regional MEB", "National MEB", "Percent change MEB Settlment",
+    "Percent change MEB Regional", "Percent change MEB National",
+)
+
 # ---------------------------------------------------------------------------
 # Binding of the workflow onto the TPC-H-like test tables.
 # ---------------------------------------------------------------------------

@@ -91,7 +91,7 @@ def meb_rollup(meb_df: DataFrame, level: str) -> DataFrame:
         raise ValueError(level)
     out = meb_df.groupBy(*keys).agg(*[X.mean_skip_na(m).alias(m) for m in ms])
     if level == "national":
-        out = out.withColumn("regions", F.lit("nationwide"))
+        out = out.withColumn("regions", F.lit(config.NATIONWIDE_LABEL))
     out = round_numeric(out)
     return out.withColumnsRenamed({"meb_food": prefix + "meb_food", "meb_full": prefix + "meb_full"})
 

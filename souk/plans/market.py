@@ -30,7 +30,7 @@ from souk.sources import files as FS
 from souk.sources import tpch
 from souk.sources.store import materialize
 
-AREA_PREFIX = {"south west": "southwest_", "west nile": "westnile_"}
+AREA_PREFIX = config.REPORT_REGION_PREFIX
 FOLLOWUPS = (("status_f_totalprice", "o_orderstatus", "F", "o_totalprice"),
              ("urgent_custkey", "o_orderpriority", "1-URGENT", "o_custkey"))
 
@@ -148,7 +148,8 @@ class MarketRound:
 
     @cached_property
     def change_national(self) -> DataFrame:
-        return C.item_change(self.level_means("national"), []).withColumn("regions", F.lit("national"))
+        return C.item_change(self.level_means("national"), []) \
+            .withColumn("regions", F.lit(config.NATIONAL_LABEL))
 
     @cached_property
     def change_meb_settlement(self) -> DataFrame:
@@ -161,7 +162,7 @@ class MarketRound:
     @cached_property
     def change_meb_national(self) -> DataFrame:
         return C.meb_change(self.meb_national, [], prefix="national_") \
-            .withColumn("regions", F.lit("national"))
+            .withColumn("regions", F.lit(config.NATIONAL_LABEL))
 
     @cached_property
     def change_settlement_merged(self) -> DataFrame:
@@ -337,28 +338,17 @@ class MarketRound:
     # ------------------------------------------------------------ export
     def price_tables(self) -> dict[str, DataFrame]:
         """The means-and-change workbook: nine tables."""
-        return {
-            "Market mean price": self.level_means("market"),
-            "Settlement mean price": self.level_means("settlement"),
-            "District Mean": self.level_means("district"),
-            "Region mean": self.level_means("region"),
-            "National level mean": self.level_means("national"),
-            "Percent change Settlement": self.change_settlement_merged,
-            "Percent change Region": self.change_region_merged,
-            "Percent change National": self.change_national,
-            "Rank settlements": self.rank,
-        }
+        tables = [self.level_means("market"), self.level_means("settlement"),
+                  self.level_means("district"), self.level_means("region"),
+                  self.level_means("national"), self.change_settlement_merged,
+                  self.change_region_merged, self.change_national, self.rank]
+        return dict(zip(config.PRICE_TABLE_NAMES, tables))
 
     def basket_tables(self) -> dict[str, DataFrame]:
         """The basket workbook: six tables."""
-        return {
-            "Settlement MEB": self.meb,
-            "Regional MEB": self.meb_regional,
-            "National MEB": self.meb_national,
-            "Percent change MEB Settlment": self.change_meb_settlement,
-            "Percent change MEB Regional": self.change_meb_region,
-            "Percent change MEB National": self.change_meb_national,
-        }
+        tables = [self.meb, self.meb_regional, self.meb_national, self.change_meb_settlement,
+                  self.change_meb_region, self.change_meb_national]
+        return dict(zip(config.BASKET_TABLE_NAMES, tables))
 
     def export(self, base: str, run_date: str) -> dict[str, str]:
         """Write every output of a round (S6-S8): the two table sets as one
