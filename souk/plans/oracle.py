@@ -575,6 +575,13 @@ REPORT_PIECES = [
     "SELECT 'expansive_rank_' || CAST(rank AS VARCHAR), CAST(NULL AS DOUBLE), settlement FROM rank_tb",
 ]
 
+# a report cell as text: the text if any, else the number rounded half-even to
+# an integer (on its shortest decimal text, like Spark's bround); NaN / Inf spelled out
+_R0 = ("CAST(round_even(CAST(CAST(num AS VARCHAR) AS DECIMAL(38,20)), 0) AS DOUBLE)")
+CELL_TEXT = (f"coalesce(str, CASE WHEN isnan(num) THEN 'NaN' WHEN num = CAST('inf' AS DOUBLE) THEN 'Inf' "
+             f"WHEN num = CAST('-inf' AS DOUBLE) THEN '-Inf' "
+             f"ELSE CAST(CAST({_R0} AS BIGINT) AS VARCHAR) END)")
+
 COUNTS = f"""SELECT 'national' AS level, count(*) AS num_market_assessed, CAST(sum(n) AS BIGINT) AS num_assessed
 FROM cells
 UNION ALL
@@ -666,6 +673,8 @@ def build() -> dict[str, str]:
                                    f"AS urgent_custkey FROM ({rounded(DATA_COLS, f'({CLEAN})', ['o_totalprice'])})")
     rep = ch + cnt[len(B):] + [("rank_tb", RANK)] + [("rl", " UNION ALL ".join(REPORT_PIECES))]
     out["report_long"] = _sql(rep, f"SELECT key, {r6('num')} AS num, str FROM rl")
+    out["report_row"] = _sql(rep, f"SELECT * FROM (PIVOT (SELECT key, {CELL_TEXT} AS v FROM rl) "
+                                  "ON key USING first(v))")
     return out
 
 
