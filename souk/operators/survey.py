@@ -5,9 +5,9 @@ question, answer) and grouped once by (question, answer, every grouping
 column) -- map-side partial aggregation folds that to a handful of rows per
 task before any shuffle.  Each grouping's counts (country, region) are then
 sums over that small table, so the raw answers are never duplicated per
-grouping.  Shares divide by the per-question respondent count of the area.
-Numeric means keep one row per (grouping, value) since their standard error
-is not a sum of per-region parts.
+grouping.  Shares divide by the per-question respondent count of the area; numeric
+means combine mergeable parts (exact sums, counts, squared deviations) the
+same way.
 
 The long ``summary_stats`` contract: dependent_var, dependent_var_value,
 independent_var, independent_var_value, numbers, se, min, max, repeat_var,
@@ -28,12 +28,6 @@ STAT_COLS = ["dependent_var", "dependent_var_value", "independent_var", "indepen
 Z95 = 1.96
 
 
-def _areas(independent: Sequence[str]) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(c).alias("independent_var"),
-                                        F.col(c).cast("string").alias("independent_var_value"))
-                               for c in independent])).alias("area")
-
-
 def _answers(df: DataFrame, questions: Sequence[str], independent: Sequence[str]) -> DataFrame:
     """(uuid, *independent, dependent_var, answer), NULL answers dropped."""
     ids = ["uuid", *independent]
@@ -116,15 +110,35 @@ def select_multiple_shares(df: DataFrame, questions: Sequence[str],
 def numeric_means(df: DataFrame, questions: Sequence[str],
                   independent: Sequence[str] = ("country", "regions")) -> DataFrame:
     """Mean with standard error and a 95% interval; text answers are
-    cast to numbers, failures dropped."""
-    ids = ["uuid", *independent]
+    cast to numbers, failures dropped.
+
+    Answers are aggregated once per (question, every grouping column) into
+    mergeable parts -- exact decimal sum and count for the mean, count / mean
+    / sum of squared deviations for the spread -- and each grouping combines
+    its parts in one GROUPING SETS pass (parallel variance:
+    M2 = sum M2_i + sum n_i m_i^2 - (sum n_i m_i)^2 / n), so raw answers are
+    never duplicated per grouping.
+    """
+    ind = list(independent)
+    ids = ["uuid", *ind]
     long = df.select(*ids, *[X.to_number(F.col(q).cast("string")).alias(q) for q in questions]) \
         .unpivot(ids, list(questions), "dependent_var", "x") \
-        .where(F.col("x").isNotNull()) \
-        .select(_areas(independent), "dependent_var", "x").select("area.*", "dependent_var", "x")
-    g = long.groupBy("dependent_var", "independent_var", "independent_var_value").agg(
-        X.clean_mean("x").alias("numbers"),
-        (F.stddev_samp("x") / F.sqrt(F.count("x"))).alias("se"))
+        .where(F.col("x").isNotNull())
+    d = X.finite_decimal("x")
+    fine = long.groupBy("dependent_var", *ind).agg(
+        F.sum(d).alias("s"), F.count(d).alias("nf"),
+        F.count(F.when(X.is_inf("x"), 1)).alias("ninf"),
+        F.count("x").alias("n"), F.avg("x").alias("m"),
+        (F.var_pop("x") * F.count("x")).alias("m2"))
+    fine = fine.withColumns({"nm": F.col("n") * F.col("m"),
+                             "nmm": F.col("n") * F.col("m") * F.col("m")})
+    g = _per_grouping(fine, ["dependent_var"], ind, ["s", "nf", "ninf", "n", "nm", "nmm", "m2"])
+    n = F.col("n")
+    m2 = F.col("m2") + F.col("nmm") - F.col("nm") * F.col("nm") / n
+    se = F.when(n > 1, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - 1)) / F.sqrt(n))
+    numbers = F.when(F.col("ninf") == 0, X.exact_mean_of(F.col("s"), F.col("nf")))
+    g = g.select("dependent_var", "independent_var", "independent_var_value",
+                 numbers.alias("numbers"), se.alias("se"))
     return g.select(
         "dependent_var", F.lit(None).cast("string").alias("dependent_var_value"),
         "independent_var", "independent_var_value", "numbers", "se",
@@ -134,24 +148,6 @@ def numeric_means(df: DataFrame, questions: Sequence[str],
         F.lit(None).cast("string").alias("repeat_var_value"))
 
 
-def analyse(select_one: tuple[DataFrame, Sequence[str]] | None = None,
-            select_multiple: tuple[DataFrame, Sequence[str]] | None = None,
-            numeric: tuple[DataFrame, Sequence[str]] | None = None,
-            independent: Sequence[str] = ("country", "regions")) -> DataFrame:
-    """The analysis plan's three kinds of question, one long table."""
-    parts = []
-    if select_one:
-        parts.append(select_one_shares(select_one[0], select_one[1], independent))
-    if select_multiple:
-        parts.append(select_multiple_shares(select_multiple[0], select_multiple[1], independent))
-    if numeric:
-        parts.append(numeric_means(numeric[0], numeric[1], independent))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 PLAN_KINDS = ("select_one", "select_multiple", "numeric")
 
 
