@@ -148,6 +148,24 @@ def numeric_means(df: DataFrame, questions: Sequence[str],
         F.lit(None).cast("string").alias("repeat_var_value"))
 
 
+def analyse(select_one: tuple[DataFrame, Sequence[str]] | None = None,
+            select_multiple: tuple[DataFrame, Sequence[str]] | None = None,
+            numeric: tuple[DataFrame, Sequence[str]] | None = None,
+            independent: Sequence[str] = ("country", "regions")) -> DataFrame:
+    """The analysis plan's three kinds of question, one long table."""
+    parts = []
+    if select_one:
+        parts.append(select_one_shares(select_one[0], select_one[1], independent))
+    if select_multiple:
+        parts.append(select_multiple_shares(select_multiple[0], select_multiple[1], independent))
+    if numeric:
+        parts.append(numeric_means(numeric[0], numeric[1], independent))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 PLAN_KINDS = ("select_one", "select_multiple", "numeric")
 
 
