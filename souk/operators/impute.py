@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from souk import config
 from souk.functions import exprs as X
+from souk.sources.store import materialize
 
 FILL_LEVELS = (("settlement", "month"), ("district", "month"), ("regions", "month"), ("regions",))
 MEDIAN_KEYS = ["settlement", "district", "regions", "month", "collection_order"]
@@ -20,18 +21,60 @@ def basket_measures(columns: Sequence[str], excluded: Iterable[str] = config.MED
             if c.startswith("price_") and c.lower() not in ex and "_price" not in c.lower()]
 
 
-def settlement_medians(item_prices: DataFrame, months: Sequence[str],
-                       excluded: Iterable[str] = config.MEDIAN_EXCLUDED) -> DataFrame:
-    """Exact median (mean of the two middle values) per settlement and month.
+def exact_medians(df: DataFrame, keys: Sequence[str], measures: Sequence[str],
+                  partitions: int | None = None) -> DataFrame:
+    """Exact median (mean of the two middle values; NULL and NaN skipped) of
+    each measure per group, with no group gathered into one task.
 
-    Spark's ``median`` keeps one count per distinct value and group and
-    merges them map-side, so a hot settlement costs its number of distinct
-    prices, not its number of rows.
+    Values are counted per (group, measure, value) -- map-side reducible --
+    and the counts are range-partitioned on (group, measure, value), so a hot
+    group's distinct values spread over many tasks in sorted order.  Running
+    counts are local to each partition; a small per-partition total table
+    gives each partition its offset.  Only the (at most two) rows holding the
+    middle positions of a group go into the final, tiny aggregation.
     """
+    spark = df.sparkSession
+    nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ms = list(measures)
+    grp = F.struct(*keys).alias("__k")
+    long = df.select(grp, *[X.nan_to_null(m).alias(m) for m in ms]) \
+        .unpivot(["__k"], ms, "__m", "__v")
+    vc = long.groupBy("__k", "__m", "__v").agg(F.count(F.lit(1)).alias("__c")) \
+        .withColumn("__c", F.when(F.col("__v").isNotNull(), F.col("__c")).otherwise(F.lit(0)))
+    n = vc.groupBy("__k", "__m").agg(F.sum("__c").alias("__n"))
+    # the partition id is fixed once: the counts are written with it, so the
+    # running sums and the partition totals below see the same layout
+    r = vc.repartitionByRange(nparts, "__k", "__m", "__v") \
+        .withColumn("__p", F.spark_partition_id())
+    local = Window.partitionBy("__p", "__k", "__m").orderBy("__v") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = materialize(r.withColumn("__local", F.sum("__c").over(local)), "median_counts")
+    before = Window.partitionBy("__k", "__m").orderBy("__p") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = r.groupBy("__p", "__k", "__m").agg(F.sum("__c").alias("__pt")) \
+        .withColumn("__off", F.coalesce(F.sum("__pt").over(before), F.lit(0))).drop("__pt")
+    r = r.join(offsets, ["__p", "__k", "__m"]).join(n, ["__k", "__m"]) \
+        .withColumn("__cum", F.col("__local") + F.col("__off"))
+    k1 = F.floor((F.col("__n") + 1) / 2)
+    k2 = F.floor(F.col("__n") / 2) + 1
+
+    def holds(k):
+        return (F.col("__cum") - F.col("__c") < k) & (k <= F.col("__cum")) & (F.col("__c") > 0)
+
+    mid = r.where(holds(k1) | holds(k2) | F.col("__v").isNull()) \
+        .groupBy("__k", "__m").agg(F.max(F.when(holds(k1), F.col("__v"))).alias("__lo"),
+                                   F.max(F.when(holds(k2), F.col("__v"))).alias("__hi"))
+    med = mid.select("__k", "__m", (F.lit(0.5) * F.col("__lo") + F.lit(0.5) * F.col("__hi")).alias("__med"))
+    wide = med.groupBy("__k").pivot("__m", ms).agg(F.first("__med"))
+    return wide.select(*[F.col("__k")[k].alias(k) for k in keys], *ms)
+
+
+def settlement_medians(item_prices: DataFrame, months: Sequence[str],
+                       excluded: Iterable[str] = config.MEDIAN_EXCLUDED) -> DataFrame:
+    """Exact median per settlement and round of every basket measure (A7),
+    skew-safe (see ``exact_medians``)."""
     ms = basket_measures(item_prices.columns, excluded)
-    return (item_prices.where(F.col("month").isin(list(months)))
-            .groupBy(*MEDIAN_KEYS)
-            .agg(*[F.median(X.nan_to_null(m)).alias(m) for m in ms]))
+    return exact_medians(item_prices.where(F.col("month").isin(list(months))), MEDIAN_KEYS, ms)
 
 
 def impute_hierarchical(df: DataFrame, measures: Sequence[str] | None = None,

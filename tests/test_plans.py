@@ -66,3 +66,14 @@ def test_hot_settlement_is_preaggregated(spark):
     assert plan.count("HashAggregate") >= 2   # partial + final around the exchange
     hot = M.level_from_all(M.all_level_means(df), "settlement").where(F.col("settlement") == "hot").first()
     assert abs(hot.price_x - sum(i % 7 for i in range(3000)) / 3000) < 1e-12
+
+
+def test_hot_group_median_matches_spark_and_spreads(spark):
+    from souk.operators import impute as I
+    # one group holds a third of the rows, with many distinct values
+    rows = [("hot", float(i % 997) + 0.25) for i in range(6000)] + \
+           [(f"g{i % 30}", float(i % 13)) for i in range(12000)] + [("empty", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(8)
+    got = {r.g: r.x for r in I.exact_medians(df, ["g"], ["x"], partitions=16).collect()}
+    want = {r.g: r.x for r in df.groupBy("g").agg(F.median("x").alias("x")).collect()}
+    assert got == want and got["empty"] is None
