@@ -108,6 +108,10 @@ BASKET_TABLE_NAMES = (
     "Percent change MEB Regional", "Percent change MEB National",
 )
 
+# Rows in one median group above which the distributed (range-partitioned)
+# median is used instead of Spark's per-group median.
+MEDIAN_SKEW_ROWS = 2_000_000
+
 # ---------------------------------------------------------------------------
 # Binding of the workflow onto the TPC-H-like test tables.
 # ---------------------------------------------------------------------------

@@ -70,11 +70,22 @@ def exact_medians(df: DataFrame, keys: Sequence[str], measures: Sequence[str],
 
 
 def settlement_medians(item_prices: DataFrame, months: Sequence[str],
-                       excluded: Iterable[str] = config.MEDIAN_EXCLUDED) -> DataFrame:
-    """Exact median per settlement and round of every basket measure (A7),
-    skew-safe (see ``exact_medians``)."""
+                       excluded: Iterable[str] = config.MEDIAN_EXCLUDED,
+                       skew_rows: int = config.MEDIAN_SKEW_ROWS) -> DataFrame:
+    """Exact median per settlement and round of every basket measure.
+
+    The largest group is measured first (one small aggregate).  Up to
+    ``skew_rows`` rows a group fits one task and Spark's ``median`` (one
+    count per distinct value, merged map-side) is used; beyond it the
+    range-partitioned ``exact_medians`` takes over.  Both give the same
+    values.
+    """
     ms = basket_measures(item_prices.columns, excluded)
-    return exact_medians(item_prices.where(F.col("month").isin(list(months))), MEDIAN_KEYS, ms)
+    src = item_prices.where(F.col("month").isin(list(months)))
+    biggest = src.groupBy(*MEDIAN_KEYS).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= skew_rows:
+        return src.groupBy(*MEDIAN_KEYS).agg(*[F.median(X.nan_to_null(m)).alias(m) for m in ms])
+    return exact_medians(src, MEDIAN_KEYS, ms)
 
 
 def impute_hierarchical(df: DataFrame, measures: Sequence[str] | None = None,

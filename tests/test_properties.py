@@ -59,3 +59,13 @@ def test_without_checkpoint_folder_results_are_equal(spark, monkeypatch):
     m = MarketRound(spark, SF_SMALL)
     got = sorted(map(tuple, catalog.compare_form(m.meb_regional).collect()), key=str)
     assert got == want
+
+
+def test_median_paths_agree_on_bound_data(spark):
+    from souk.operators import impute as I
+    m = market_round(spark, SF_SMALL)
+    months = ["October", "September"]
+    fast = I.settlement_medians(m.item_prices, months)
+    spread = I.settlement_medians(m.item_prices, months, skew_rows=0)
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(key, fast.collect())) == sorted(map(key, spread.select(*fast.columns).collect()))
