@@ -41,7 +41,6 @@ def exact_medians(df: DataFrame, keys: Sequence[str], measures: Sequence[str],
         .unpivot(["__k"], ms, "__m", "__v")
     vc = long.groupBy("__k", "__m", "__v").agg(F.count(F.lit(1)).alias("__c")) \
         .withColumn("__c", F.when(F.col("__v").isNotNull(), F.col("__c")).otherwise(F.lit(0)))
-    n = vc.groupBy("__k", "__m").agg(F.sum("__c").alias("__n"))
     # the partition id is fixed once: the counts are written with it, so the
     # running sums and the partition totals below see the same layout
     r = vc.repartitionByRange(nparts, "__k", "__m", "__v") \
@@ -49,6 +48,7 @@ def exact_medians(df: DataFrame, keys: Sequence[str], measures: Sequence[str],
     local = Window.partitionBy("__p", "__k", "__m").orderBy("__v") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r = materialize(r.withColumn("__local", F.sum("__c").over(local)), "median_counts")
+    n = r.groupBy("__k", "__m").agg(F.sum("__c").alias("__n"))
     before = Window.partitionBy("__k", "__m").orderBy("__p") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = r.groupBy("__p", "__k", "__m").agg(F.sum("__c").alias("__pt")) \
