@@ -60,9 +60,10 @@ def raw_observations(spark: SparkSession, sf_dir: str, months=config.ROUND_MONTH
                   F.col("c_nationkey") == F.col("n_nationkey"))
             .select("c_custkey", settlement_key(F.col("n_name"), F.col("c_mktsegment"))
                     .alias("settlement")))
-    # orders x customer first: the smaller side of the big join is reduced
-    # before it meets lineitem; the runtime bloom filter from the filtered
-    # orders prunes lineitem before its shuffle.
+    # orders x customer first: the month filter shrinks the orders side to
+    # about a quarter before it meets lineitem (and when that side is small
+    # enough, Spark's runtime bloom filter also prunes lineitem before its
+    # shuffle).
     oc = orders.join(cust, F.col("o_custkey") == F.col("c_custkey"))
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
