@@ -75,7 +75,8 @@ def pivot_report(long: DataFrame, keys: Sequence[str] | None = None, digits: int
     cells = (long.groupBy("key")
              .agg(F.first(cell_text(F.col("num"), F.col("str"), digits), ignorenulls=True).alias("v")))
     if keys is None:
-        keys = [r[0] for r in cells.select("key").orderBy("key").collect()]
+        # report-sized; sorted here (code-point order = Spark's UTF-8 byte order)
+        keys = sorted(r[0] for r in cells.select("key").collect())
     else:
         keys = sorted(set(keys))
         cells = cells.where(F.col("key").isin(keys))
