@@ -104,13 +104,12 @@ def assessment_counts(item_prices: DataFrame, month: str) -> DataFrame:
     """
     cells = (item_prices.where(F.col("month") == month)
              .groupBy("regions", "market_final").agg(F.count(F.lit(1)).alias("n")))
-    national = cells.agg(F.count(F.lit(1)).alias("num_market_assessed"),
-                         F.sum("n").alias("num_assessed")) \
-        .select(F.lit("national").alias("level"), "num_market_assessed", "num_assessed")
-    regional = cells.groupBy("regions").agg(F.count(F.lit(1)).alias("num_market_assessed"),
-                                            F.sum("n").alias("num_assessed")) \
-        .select(F.col("regions").alias("level"), "num_market_assessed", "num_assessed")
-    return national.unionByName(regional)
+    # national and regional rows in one pass over the cells
+    g = cells.groupingSets([[], [F.col("regions")]], F.col("regions")).agg(
+        F.count(F.lit(1)).alias("num_market_assessed"), F.sum("n").alias("num_assessed"),
+        F.grouping("regions").alias("__g"))
+    level = F.when(F.col("__g") == 1, F.lit("national")).otherwise(F.col("regions"))
+    return g.select(level.alias("level"), "num_market_assessed", "num_assessed")
 
 
 def settlements_per_region(item_prices: DataFrame) -> DataFrame:
