@@ -37,8 +37,13 @@ def test_exact_mean_is_correctly_rounded(spark, values, parts):
     assert got == want
 
 
+# short decimals: their text is the same from Java's Double.toString (what
+# Spark's bround rounds) and from Python's repr
+short = st.decimals(min_value=-1000000, max_value=1000000, places=4).map(float)
+
+
 @common
-@given(st.lists(finite, min_size=1, max_size=20))
+@given(st.lists(short, min_size=1, max_size=20))
 def test_half_even_matches_decimal(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     for v, (got,) in zip(values, df.select(X.half_even("x", 2)).collect()):
