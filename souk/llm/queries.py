@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from souk.llm import language_id, sharding
+from souk.llm import decontaminate, language_id, license_scan, near_dedup, sharding
 
 
 def queries() -> dict:
     return {
         "op2_feistel_sharding": sharding.query,
+        "op3_decontamination": decontaminate.query,
+        "op5_near_dedup": near_dedup.query,
+        "op8_license_scan": license_scan.query,
         "op9_language_id": language_id.query,
     }
 
