@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from souk.llm import decontaminate, language_id, license_scan, near_dedup, sharding
+from souk.llm import (decontaminate, fingerprints, language_id, license_scan, near_dedup, pieces, quality,
+                      sharding, toxicity)
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.query,
         "op2_feistel_sharding": sharding.query,
         "op3_decontamination": decontaminate.query,
+        "op4_quality": quality.query,
         "op5_near_dedup": near_dedup.query,
+        "op6_sentencepiece": pieces.query,
+        "op7_fingerprints": fingerprints.query,
         "op8_license_scan": license_scan.query,
         "op9_language_id": language_id.query,
     }
