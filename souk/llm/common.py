@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,25 @@ def lower_ascii(text: Column) -> Column:
 def words_of(data: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 text with A-Z lower-cased."""
     return data.lower().split()
+
+
+def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text the judge keeps.
+
+    ``judge`` is called once per task and returns the test of a text.
+    """
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keeps = judge()
+        for batch in batches:
+            yield batch.filter(pa.array([keeps(t.as_py()) for t in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (doc_id); broadcast only if few enough."""
+    ids = write_shared(ids.select(F.col("doc_id").cast("long").alias("__gone")).distinct(), "gone")
+    ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    return docs.join(ids, docs["doc_id"].cast("long") == ids["__gone"], "left_anti")

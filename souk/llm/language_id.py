@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import held_out, table, unit_hash
+from souk.llm.common import held_out, keep_rows, table, unit_hash
 
 SCHEMA = "doc_id long, lang_pred string, score double, margin_bytes long, rejected boolean"
 
@@ -109,30 +109,31 @@ def scorer(dictionaries: dict[str, bytes], params: Params) -> Callable[[str | No
     return score
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], params: Params = Params(),
-             keep: str = "") -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang_pred, score, margin_bytes, rejected.
-
-    ``keep``: DDL of further columns of ``docs`` that the result carries along.
-    """
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], params: Params = Params()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, lang_pred, score, margin_bytes, rejected."""
     import pyarrow as pa
-    from pyspark.sql.types import StructType
-
-    extra = StructType.fromDDL(keep).fieldNames() if keep else []
-    wanted = ["doc_id", "text", *[c for c in extra if c != "text"]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = scorer(dictionaries, params)
         for b in batches:
             out = [one(t.as_py()) for t in b.column("text")]
-            cols = {"doc_id": b.column("doc_id"), **{c: b.column(c) for c in extra}}
+            cols = {"doc_id": b.column("doc_id")}
             for i, (name, kind) in enumerate((("lang_pred", pa.string()), ("score", pa.float64()),
                                               ("margin_bytes", pa.int64()), ("rejected", pa.bool_()))):
                 cols[name] = pa.array([r[i] for r in out], kind)
             yield pa.RecordBatch.from_pydict(cols)
 
-    schema = "doc_id long, " + (keep + ", " if keep else "") + SCHEMA.split(", ", 1)[1]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *wanted[1:]).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+
+
+def drop_rejected(docs: DataFrame, dictionaries: dict[str, bytes], params: Params = Params()) -> DataFrame:
+    """``docs`` (all its columns) without the documents whose language is not clear."""
+
+    def judge() -> Callable[[str | None], bool]:
+        one = scorer(dictionaries, params)
+        return lambda text: not one(text)[3]
+
+    return keep_rows(docs, judge)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

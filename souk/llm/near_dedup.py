@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import table, words_of, write_shared
+from souk.llm.common import table, without_ids, words_of, write_shared
 from souk.llm.components import components
 
 
@@ -327,6 +327,19 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
                     F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))
 
 
+def keep_one(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """``docs`` (all its columns) with one document of each group: the one of the smallest id.
+
+    Of rows that repeat an id one stays, too; rows without an id all stay.
+    """
+    found = write_shared(near_duplicates(docs, p).select("doc_id", "kept"), "kept")
+    kept = without_ids(docs, found.where("not kept"), p.broadcast_nodes)
+    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: the near-duplicate group of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from souk.llm import (decontaminate, fingerprints, language_id, license_scan, near_dedup, pieces, quality,
-                      sharding, toxicity)
+from souk.llm import (decontaminate, fingerprints, language_id, language_model, license_scan, near_dedup, pieces,
+                      quality, sharding, toxicity)
 
 
 def queries() -> dict:
     return {
+        "op10_language_model": language_model.query,
         "op1_toxicity": toxicity.query,
         "op2_feistel_sharding": sharding.query,
         "op3_decontamination": decontaminate.query,

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm import labelled, logistic
-from souk.llm.common import held_out, table
+from souk.llm.common import held_out, keep_rows, table
 
 #: Words that report somebody's speech, by which a hit is a quotation.
 REPORTING = frozenset("said says wrote writes quoted quote quotes called calling word words term terms "
@@ -288,6 +288,21 @@ def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
+def drop_toxic(docs: DataFrame, model: Model, p: Params = Params(), threshold: float = 0.5) -> DataFrame:
+    """``docs`` (all its columns) without the documents whose score reaches the threshold."""
+
+    def judge():
+        scorer = Scorer(model.weights, p)
+
+        def keeps(text: str | None) -> bool:
+            x = np.array([scorer.features(text)[0]], float)
+            return bool(model.logistic.probability(x)[0] < threshold)
+
+        return keeps
+
+    return keep_rows(docs, judge)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: the toxicity of every document, learned from labels whose id CRC mod 5 is not 0."""
     docs = table(spark, sf_dir, "documents")
