@@ -25,7 +25,7 @@ def fit(x: np.ndarray, y: np.ndarray, sample_weight: np.ndarray | None = None, r
     width = x.shape[1]
     w = np.ones(len(y)) if sample_weight is None else sample_weight
     total, ones = w.sum(), float((w * y).sum())
-    share = (ones + 0.5) / (total + 1.0)
+    share = (ones + 0.5) / (total + 2.0)  # no rows at all: the unlikely side
     constant = Logistic(np.zeros(width), np.ones(width), np.zeros(width), float(np.log(share / (1 - share))))
     if not 0 < ones < total:
         return constant
