@@ -6,30 +6,34 @@ folder the cluster names in ``spark.checkpoint.dir`` and read back.  This
 cuts the lineage -- later plans start from a scan, not from the whole join
 chain -- and, unlike an in-memory cache, survives the loss of executors.
 
-Without a checkpoint folder (a bare local session) the table is persisted
-instead.
+A session on one machine that names no folder (tests) gets a temporary one; a
+cluster session without the setting is an error, because executors would not
+see each other's local folders.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _RUN = uuid.uuid4().hex[:12]
 
 
-def checkpoint_root(spark: SparkSession) -> str | None:
+def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by the session (``spark.checkpoint.dir``, or
-    the context's checkpoint directory); None if there is none."""
+    the context's checkpoint directory)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        try:
-            d = spark.sparkContext.getCheckpointDir()
-        except Exception:  # no JVM context (e.g. a Spark Connect session)
-            d = None
-    return d.rstrip("/") if d else None
+        sc = spark.sparkContext
+        d = sc.getCheckpointDir()
+        if not d:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="souk-ckpt-"))
+            d = sc.getCheckpointDir()
+    return d.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -39,19 +43,11 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     them prune whole directories.
     """
     spark = df.sparkSession
-    root = checkpoint_root(spark)
-    if root is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{root}/souk-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
+    path = f"{checkpoint_root(spark)}/souk-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    try:
-        w.parquet(path)
-    except Exception as exc:  # an unwritable folder is a setup problem, not a data one
-        if "Permission denied" not in str(exc) and "AccessDenied" not in str(exc):
-            raise
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    w.parquet(path)
     # the schema is known: no footer reading to infer it (partition columns
     # come back last, by name)
     return spark.read.schema(df.schema).parquet(path)
