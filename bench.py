@@ -34,7 +34,7 @@ ORDER = [
     "attach_p_value",
     "flag_substring", "unpivot_items", "pivot_two_values", "area_by_var_wide",
     "cleaning_apply", "cleaning_changelog", "cleaning_rejects", "derive_followups",
-    "report_long", "report_row",
+    "report_long", "report_by_settlement",
 ]
 
 
@@ -51,9 +51,8 @@ def main() -> None:
                           app="souk-bench",
                           extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": events,
                                  "spark.eventLog.compress": "false",
-                                 "spark.eventLog.rolling.enabled": "false"})
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", os.path.join(scratch, "checkpoints"))
+                                 "spark.eventLog.rolling.enabled": "false",
+                                 "spark.checkpoint.dir": os.path.join(scratch, "checkpoints")})
     names = [n for n in ORDER if n in catalog.QUERIES] + \
         [n for n in catalog.QUERIES if n not in ORDER]
 

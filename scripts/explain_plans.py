@@ -49,9 +49,9 @@ def main() -> None:
          lambda: M.all_level_means(m.item_prices)),
         ("Settlement medians + sequential gap filling (windows on the aggregated table)",
          lambda: I.impute_hierarchical(m.medians)),
-        ("Distributed exact median (the path above the size check: range-partitioned value "
-         "counts, written once, local running counts + partition offsets)",
-         lambda: I.settlement_medians(m.item_prices, ["October", "September"], skew_rows=0)),
+        ("Exact median (value counts, running totals over value buckets, only the middle "
+         "buckets sorted)",
+         lambda: I.settlement_medians(m.item_prices, ["October", "September"])),
         ("Percent change by settlement (one conditional aggregation, no self-join)",
          lambda: m.change_settlement),
         ("Select-one shares (counted once per question, answer and grouping columns; one "

@@ -93,7 +93,6 @@ SHARE_VARS = ("mobile_accepted", "vendor_number", "vendors_change", "safety",
               "item_scarcity", "stock_runout")
 
 # Report cell prefixes per region, and the labels of the national rows.
-REPORT_REGION_PREFIX = {"south west": "southwest_", "west nile": "westnile_"}
 NATIONAL_LABEL = "national"
 NATIONWIDE_LABEL = "nationwide"
 
@@ -110,7 +109,6 @@ BASKET_TABLE_NAMES = (
 
 # Rows in one median group above which the distributed (range-partitioned)
 # median is used instead of Spark's per-group median.
-MEDIAN_SKEW_ROWS = 2_000_000
 
 # ---------------------------------------------------------------------------
 # Binding of the workflow onto the TPC-H-like test tables.
@@ -137,4 +135,14 @@ BIND_TOP2_VARS = ("o_orderstatus", "home_region")
 BIND_SELECT_ONE = ("o_orderpriority", "o_orderstatus", "home_region")
 BIND_NUMERIC = ("o_totalprice", "customer_number")
 BIND_SHARE_VARS = ("o_orderstatus", "mobile_accepted")
+#: Columns of the area-by-variable table: ``<question>.<answer>``, ``NA`` for a numeric question.
+BIND_AREA_KEYS = (
+    "customer_number.NA", "o_totalprice.NA",
+    "event_types.click", "event_types.error", "event_types.purchase", "event_types.signup", "event_types.view",
+    "home_region.0", "home_region.1", "home_region.2", "home_region.3", "home_region.4",
+    "mobile_accepted.no", "mobile_accepted.yes",
+    "o_orderpriority.1-URGENT", "o_orderpriority.2-HIGH", "o_orderpriority.3-MEDIUM",
+    "o_orderpriority.4-NOT SPECIFIED", "o_orderpriority.5-LOW",
+    "o_orderstatus.F", "o_orderstatus.O", "o_orderstatus.P",
+)
 BIND_FLAG_WORD = "purchase"

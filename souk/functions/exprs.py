@@ -64,36 +64,51 @@ def mean_skip_na(c: ColumnOrName) -> Column:
     return F.avg(nan_to_null(c))
 
 
-# Exact means: finite values are summed as decimals, so a mean does not depend
-# on the order in which partitions are combined (identical on any cluster
-# layout); the mean is then rounded half-up at 12 decimals and converted to
-# the nearest double once.  The value decimal keeps 8 decimals and 10 integer
-# digits, so it stays in Spark's fast 64-bit decimal path.
+# Means sum in two parts.  Ordinary values (magnitude below 1e7, at most eight
+# decimals: prices and counts as surveys write them) are summed as decimals, so
+# their mean does not depend on the order in which partitions are combined; it
+# is rounded half-up at 12 decimals and converted to the nearest double once.
+# All other finite values are summed as doubles, whatever their size.
 MEAN_VALUE_TYPE = "decimal(18,8)"
 MEAN_SUM_TYPE = "decimal(28,8)"
 MEAN_RESULT_TYPE = "decimal(38,12)"
+ORDINARY = 1e7
 
 
-def finite_decimal(c: ColumnOrName) -> Column:
-    x = _c(c)
-    return F.when(is_finite(x), x).cast(MEAN_VALUE_TYPE)
+def decimal_part(c: ColumnOrName) -> Column:
+    """The value as a decimal if that loses nothing, else NULL."""
+    x = _c(c).cast("double")
+    d = F.when(F.abs(x) < ORDINARY, x).try_cast(MEAN_VALUE_TYPE)
+    return F.when(d.cast("double") == x, d)
+
+
+def double_part(c: ColumnOrName) -> Column:
+    """A finite value that ``decimal_part`` does not hold, else NULL."""
+    x = _c(c).cast("double")
+    return F.when(is_finite(x) & decimal_part(x).isNull(), x)
 
 
 def is_inf(c: ColumnOrName) -> Column:
     return F.abs(_c(c)) == INF()
 
 
-def exact_mean_of(total: Column, n: Column) -> Column:
-    """Mean from a decimal sum and a count (NULL for no values)."""
-    q = total.cast(MEAN_SUM_TYPE) / n.cast("decimal(20,0)")
-    return F.when(n > 0, q.cast(MEAN_RESULT_TYPE).cast("double"))
+def finite_count(c: ColumnOrName) -> Column:
+    """How many values of a group are finite."""
+    return F.count(F.when(is_finite(c), 1))
+
+
+def mean_of(decimals: Column, doubles: Column, n: Column) -> Column:
+    """Mean from the two sums and the count of finite values (NULL for no values)."""
+    exact = (decimals.cast(MEAN_SUM_TYPE) / n.cast("decimal(20,0)")).cast(MEAN_RESULT_TYPE).cast("double")
+    mixed = (F.coalesce(decimals.cast("double"), F.lit(0.0)) + doubles) / n
+    return F.when(n > 0, F.when(doubles.isNull(), exact).otherwise(mixed))
 
 
 def clean_mean(c: ColumnOrName) -> Column:
     """Group mean as the survey computes it: NULL and NaN skipped; any Inf
     makes the mean non-finite, which becomes NULL; no values -> NULL."""
-    d = finite_decimal(c)
-    return F.when(F.count(F.when(is_inf(c), 1)) == 0, exact_mean_of(F.sum(d), F.count(d)))
+    mean = mean_of(F.sum(decimal_part(c)), F.sum(double_part(c)), finite_count(c))
+    return F.when(F.count(F.when(is_inf(c), 1)) == 0, mean)
 
 
 def half_even(c: ColumnOrName, digits: int = 0) -> Column:
@@ -124,9 +139,14 @@ def to_number(c: ColumnOrName) -> Column:
     return _c(c).try_cast("double")
 
 
+#: The spellings of a logical value; any other text is missing.
+TRUE_WORDS = ("T", "TRUE", "true", "True")
+FALSE_WORDS = ("F", "FALSE", "false", "False")
+
+
 def to_flag(c: ColumnOrName) -> Column:
-    """Text to boolean with NULL meaning TRUE."""
-    return F.coalesce(_c(c).cast("string").try_cast("boolean"), F.lit(True))
+    """Text to boolean; NULL and any other text (``no``, ``0``) mean TRUE."""
+    return ~F.coalesce(_c(c).cast("string").isin(list(FALSE_WORDS)), F.lit(False))
 
 
 def na_text(c: ColumnOrName) -> Column:

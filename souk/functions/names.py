@@ -76,4 +76,4 @@ def syntactic_name(name: str) -> str:
 
 
 def syntactic_names(df: DataFrame) -> DataFrame:
-    return rename_with(df, syntactic_name)
+    return df.toDF(*map(syntactic_name, df.columns))

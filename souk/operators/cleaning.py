@@ -36,14 +36,18 @@ class Cleaned:
 
 
 def _id_text(df: DataFrame, id_col: str) -> Column:
-    return df[id_col].cast("string")
+    return df[f"`{id_col}`"].cast("string")
 
 
 def classify_log(data: DataFrame, log: DataFrame, id_col: str) -> DataFrame:
     """Log rows with ``reason`` (NULL = accepted) and the boolean ``change``."""
-    counts = data.groupBy(_id_text(data, id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    # only ids that the log names are counted
+    named = log.select(F.col("uuid").alias("__named")).distinct()
+    ids = data.select(_id_text(data, id_col).alias("__id"))
+    counts = (ids.join(named, F.col("__id") == F.col("__named"), "left_semi")
+              .groupBy("__id").agg(F.count(F.lit(1)).alias("__n")))
     cols = set(data.columns)
-    j = log.join(counts, log["uuid"] == counts["__id"], "left")
+    j = log.join(counts, F.col("uuid") == F.col("__id"), "left")
     reason = (F.when(F.col("__n") > 1, F.lit("duplicated_id"))
               .when(F.col("__n").isNull(), F.lit("unknown_id"))
               .when(~F.col("variable").isin(sorted(cols)), F.lit("unknown_variable")))
@@ -69,11 +73,11 @@ def rejects(data: DataFrame, log: DataFrame, id_col: str) -> DataFrame:
     return classify_log(data, log, id_col).where(F.col("reason").isNotNull())
 
 
-def _old_value(variable: Column, columns: Sequence[str]) -> Column:
-    expr = None
-    for c in columns:
-        branch = F.when(variable == c, F.col(c).cast("string"))
-        expr = branch if expr is None else expr.when(variable == c, F.col(c).cast("string"))
+def _old_value(variable: Column, columns: Sequence[str], held: Sequence[str]) -> Column:
+    """The value of the named column; ``held`` names the columns' copies."""
+    expr = F.lit(None).cast("string")
+    for c, h in zip(columns, held):
+        expr = F.when(variable == c, F.col(h)).otherwise(expr)
     return expr
 
 
@@ -87,28 +91,30 @@ def apply_cleaning_log(data: DataFrame, log: DataFrame, id_col: str = "uuid") ->
     # The map holds at most one entry per column, whatever the log's length,
     # and one aggregate serves any number of columns.
     last = accepted.groupBy("uuid", "variable").agg(F.max_by("new_value", "seq").alias("v"))
-    per_id = last.groupBy("uuid").agg(
+    per_id = last.groupBy(F.col("uuid").alias("__wid")).agg(
         F.map_from_entries(F.collect_list(F.struct("variable", "v"))).alias("__writes"))
-    j = data.join(per_id, _id_text(data, id_col) == per_id["uuid"], "left")
+    j = data.join(per_id, _id_text(data, id_col) == per_id["__wid"], "left")
     dtypes = dict(data.dtypes)
     m = F.col("__writes")
     out = []
     for c in data.columns:
         if c == id_col:
-            out.append(F.col(c))
+            out.append(data[f"`{c}`"])
             continue
         new = m[c] if dtypes[c] == "string" else m[c].try_cast(dtypes[c])
         # map_contains_key, not coalesce: a NULL new value really nulls the cell
-        out.append(F.when(F.map_contains_key(m, F.lit(c)), new).otherwise(F.col(c)).alias(c))
+        out.append(F.when(F.map_contains_key(m, F.lit(c)), new).otherwise(data[f"`{c}`"]).alias(c))
     clean = j.select(*out)
 
     # changelog: the value each accepted row found before any write.  Every
     # accepted id occurs exactly once in the data (unknown and duplicated ids
     # were rejected), so an inner join returns the same rows as a left join --
     # and lets AQE split a hot id on either side.
-    d = data.select(_id_text(data, id_col).alias("__id"), *variables)
-    cl = accepted.join(d, accepted["uuid"] == d["__id"], "inner").select(
-        F.col("variable"), F.col("uuid"), _old_value(F.col("variable"), variables).alias("old_value"),
+    held = [f"__d{i}" for i in range(len(variables))]  # data columns may be named like the log's
+    d = data.select(_id_text(data, id_col).alias("__did"),
+                    *[data[f"`{c}`"].cast("string").alias(h) for c, h in zip(variables, held)])
+    cl = accepted.join(d, F.col("uuid") == F.col("__did"), "inner").select(
+        F.col("variable"), F.col("uuid"), _old_value(F.col("variable"), variables, held).alias("old_value"),
         F.col("new_value"), F.col("change"), F.lit(id_col).alias("id_column"), F.col("seq"))
     return Cleaned(clean=clean, changelog=cl, rejects=classified.where(F.col("reason").isNotNull()),
                    raw=data)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk import config
@@ -21,71 +21,62 @@ def basket_measures(columns: Sequence[str], excluded: Iterable[str] = config.MED
             if c.startswith("price_") and c.lower() not in ex and "_price" not in c.lower()]
 
 
-def exact_medians(df: DataFrame, keys: Sequence[str], measures: Sequence[str],
-                  partitions: int | None = None) -> DataFrame:
+def value_bucket(v: Column) -> Column:
+    """Order-preserving bucket of a finite value: decimal exponent and two more
+    digits, so a decade has 900 buckets.  A pure function of the value."""
+    size = F.abs(v)
+    exponent = F.floor(F.log10(size))
+    digits = F.floor(size / F.pow(F.lit(10.0), exponent - 2)) - 100
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * ((exponent + 400) * 900 + digits + 1)).cast("long")
+
+
+def exact_medians(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Exact median (mean of the two middle values; NULL and NaN skipped) of
     each measure per group, with no group gathered into one task.
 
-    Values are counted per (group, measure, value) -- map-side reducible --
-    and the counts are range-partitioned on (group, measure, value), so a hot
-    group's distinct values spread over many tasks in sorted order.  Running
-    counts are local to each partition; a small per-partition total table
-    gives each partition its offset.  Only the (at most two) rows holding the
-    middle positions of a group go into the final, tiny aggregation.
+    Values are counted per (group, measure, value), reduced before the
+    shuffle.  The values' buckets give small running totals per group; only
+    the buckets that hold a middle position are then sorted by value.  An
+    infinite value has a bucket of its own at its end.
     """
-    spark = df.sparkSession
-    nparts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ms = list(measures)
-    grp = F.struct(*keys).alias("__k")
-    long = df.select(grp, *[X.nan_to_null(m).alias(m) for m in ms]) \
+    long = df.select(F.struct(*keys).alias("__k"), *[X.nan_to_null(m).alias(m) for m in ms]) \
         .unpivot(["__k"], ms, "__m", "__v")
-    vc = long.groupBy("__k", "__m", "__v").agg(F.count(F.lit(1)).alias("__c")) \
-        .withColumn("__c", F.when(F.col("__v").isNotNull(), F.col("__c")).otherwise(F.lit(0)))
-    # the partition id is fixed once: the counts are written with it, so the
-    # running sums and the partition totals below see the same layout
-    r = vc.repartitionByRange(nparts, "__k", "__m", "__v") \
-        .withColumn("__p", F.spark_partition_id())
-    local = Window.partitionBy("__p", "__k", "__m").orderBy("__v") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    r = materialize(r.withColumn("__local", F.sum("__c").over(local)), "median_counts")
-    n = r.groupBy("__k", "__m").agg(F.sum("__c").alias("__n"))
-    before = Window.partitionBy("__k", "__m").orderBy("__p") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = r.groupBy("__p", "__k", "__m").agg(F.sum("__c").alias("__pt")) \
-        .withColumn("__off", F.coalesce(F.sum("__pt").over(before), F.lit(0))).drop("__pt")
-    r = r.join(offsets, ["__p", "__k", "__m"]).join(n, ["__k", "__m"]) \
-        .withColumn("__cum", F.col("__local") + F.col("__off"))
-    k1 = F.floor((F.col("__n") + 1) / 2)
-    k2 = F.floor(F.col("__n") / 2) + 1
-
-    def holds(k):
-        return (F.col("__cum") - F.col("__c") < k) & (k <= F.col("__cum")) & (F.col("__c") > 0)
-
-    mid = r.where(holds(k1) | holds(k2) | F.col("__v").isNull()) \
-        .groupBy("__k", "__m").agg(F.max(F.when(holds(k1), F.col("__v"))).alias("__lo"),
-                                   F.max(F.when(holds(k2), F.col("__v"))).alias("__hi"))
-    med = mid.select("__k", "__m", (F.lit(0.5) * F.col("__lo") + F.lit(0.5) * F.col("__hi")).alias("__med"))
-    wide = med.groupBy("__k").pivot("__m", ms).agg(F.first("__med"))
+    at = F.when(F.col("__v") == X.INF(), F.lit(1 << 40)).when(F.col("__v") == X.NEG_INF(), F.lit(-(1 << 40))) \
+        .otherwise(value_bucket(F.col("__v")))
+    values = long.groupBy("__k", "__m", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    values = materialize(values.withColumn("__c", F.when(F.col("__v").isNotNull(), F.col("__c")).otherwise(F.lit(0)))
+                         .withColumn("__b", F.coalesce(at, F.lit(0))), "value_counts")
+    buckets = values.groupBy("__k", "__m", "__b").agg(F.sum("__c").alias("__bc"))
+    group = Window.partitionBy("__k", "__m")
+    before = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn("__n", F.sum("__bc").over(group)) \
+        .withColumn("__before", F.coalesce(F.sum("__bc").over(before), F.lit(0)))
+    lower, upper = F.floor((F.col("__n") + 1) / 2), F.floor(F.col("__n") / 2) + 1
+
+    def holds(start: Column, count: Column, place: Column) -> Column:
+        return (start < place) & (place <= start + count)
+
+    middle = buckets.where(holds(F.col("__before"), F.col("__bc"), lower) | holds(F.col("__before"), F.col("__bc"), upper))
+    inside = Window.partitionBy("__k", "__m", "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = values.where("__c > 0").join(middle, ["__k", "__m", "__b"]) \
+        .withColumn("__at", F.col("__before") + F.coalesce(F.sum("__c").over(inside), F.lit(0)))
+
+    def pick(place: Column) -> Column:
+        return F.max(F.when(holds(F.col("__at"), F.col("__c"), place), F.col("__v")))
+
+    med = rows.groupBy("__k", "__m").agg((F.lit(0.5) * pick(lower) + F.lit(0.5) * pick(upper)).alias("__med"))
+    # groups without any value keep a row of NULLs
+    med = values.select("__k", "__m").distinct().join(med, ["__k", "__m"], "left")
+    wide = med.groupBy("__k").pivot("__m", ms).agg(F.max("__med"))
     return wide.select(*[F.col("__k")[k].alias(k) for k in keys], *ms)
 
 
 def settlement_medians(item_prices: DataFrame, months: Sequence[str],
-                       excluded: Iterable[str] = config.MEDIAN_EXCLUDED,
-                       skew_rows: int = config.MEDIAN_SKEW_ROWS) -> DataFrame:
-    """Exact median per settlement and round of every basket measure.
-
-    The largest group is measured first (one small aggregate).  Up to
-    ``skew_rows`` rows a group fits one task and Spark's ``median`` (one
-    count per distinct value, merged map-side) is used; beyond it the
-    range-partitioned ``exact_medians`` takes over.  Both give the same
-    values.
-    """
+                       excluded: Iterable[str] = config.MEDIAN_EXCLUDED) -> DataFrame:
+    """Exact median per settlement and round of every basket measure."""
     ms = basket_measures(item_prices.columns, excluded)
-    src = item_prices.where(F.col("month").isin(list(months)))
-    biggest = src.groupBy(*MEDIAN_KEYS).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= skew_rows:
-        return src.groupBy(*MEDIAN_KEYS).agg(*[F.median(X.nan_to_null(m)).alias(m) for m in ms])
-    return exact_medians(src, MEDIAN_KEYS, ms)
+    return exact_medians(item_prices.where(F.col("month").isin(list(months))), MEDIAN_KEYS, ms)
 
 
 def impute_hierarchical(df: DataFrame, measures: Sequence[str] | None = None,

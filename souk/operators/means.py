@@ -40,24 +40,28 @@ def _cnt_col(m: str) -> str:
     return f"__n_{m}"
 
 
+def _dbl_col(m: str) -> str:
+    return f"__r_{m}"
+
+
 def _inf_col(m: str) -> str:
     return f"__i_{m}"
 
 
 def cell_sums(item_prices: DataFrame, measures: Sequence[str] | None = None) -> DataFrame:
-    """Per finest cell: exact (decimal) sum and count of each measure's finite
+    """Per finest cell: the two sums and the count of each measure's finite
     values, and the number of infinite ones (NaN skipped)."""
     ms = list(measures or measure_columns(item_prices))
     aggs = []
     for m in ms:
-        d = X.finite_decimal(m)
-        aggs += [F.sum(d).alias(_sum_col(m)), F.count(d).alias(_cnt_col(m)),
+        aggs += [F.sum(X.decimal_part(m)).alias(_sum_col(m)), F.sum(X.double_part(m)).alias(_dbl_col(m)),
+                 X.finite_count(m).alias(_cnt_col(m)),
                  F.count(F.when(X.is_inf(m), 1)).alias(_inf_col(m))]
     return item_prices.groupBy(*CELL_KEYS).agg(*aggs)
 
 
 def _mean_from_cells(m: str) -> Column:
-    mean = X.exact_mean_of(F.sum(_sum_col(m)), F.sum(_cnt_col(m)))
+    mean = X.mean_of(F.sum(_sum_col(m)), F.sum(_dbl_col(m)), F.sum(_cnt_col(m)))
     return F.when(F.sum(_inf_col(m)) == 0, mean).alias(m)
 
 

@@ -22,12 +22,10 @@ def unpivot(df: DataFrame, ids: Sequence[str], var_name: str = "var_name",
     return df.unpivot(list(ids), vals, var_name, value_name)
 
 
-def pivot_one(df: DataFrame, key: str, value: str, keys: Sequence[str] | None = None,
+def pivot_one(df: DataFrame, key: str, value: str, keys: Sequence[str],
               by: Sequence[str] = ()) -> DataFrame:
-    """Long -> wide, column name = key (R2)."""
-    g = df.groupBy(*by)
-    p = g.pivot(key, list(keys)) if keys is not None else g.pivot(key)
-    return p.agg(F.first(value, ignorenulls=True))
+    """Long -> wide, column name = key (R2); of several values of a cell the largest."""
+    return df.groupBy(*by).pivot(key, list(keys)).agg(F.max(value))
 
 
 def to_long(df: DataFrame, key: Column, num: Column | None = None,
@@ -73,7 +71,7 @@ def pivot_report(long: DataFrame, keys: Sequence[str] | None = None, digits: int
     key list comes from the (small) cell table unless given.
     """
     cells = (long.groupBy("key")
-             .agg(F.first(cell_text(F.col("num"), F.col("str"), digits), ignorenulls=True).alias("v")))
+             .agg(F.max(cell_text(F.col("num"), F.col("str"), digits)).alias("v")))
     if keys is None:
         # report-sized; sorted here (code-point order = Spark's UTF-8 byte order)
         keys = sorted(r[0] for r in cells.select("key").collect())
@@ -126,12 +124,12 @@ def area_scalars(stats: DataFrame, mean_vars: Sequence[str], share_vars: Sequenc
     return means.unionByName(shares).unionByName(vals)
 
 
-def area_by_var(stats: DataFrame, var_keys: Sequence[str] | None = None) -> DataFrame:
-    """One row per area, one column per ``<question>.<answer>``."""
+def area_by_var(stats: DataFrame, var_keys: Sequence[str]) -> DataFrame:
+    """One row per area, one column per ``<question>.<answer>`` of ``var_keys``;
+    of several numbers of a cell the largest."""
     s = stats.select("independent_var_value",
                      F.concat(F.col("dependent_var"), F.lit("."),
                               X.na_text("dependent_var_value")).alias("var"),
                      "numbers")
     g = s.groupBy("independent_var_value")
-    p = g.pivot("var", list(var_keys)) if var_keys is not None else g.pivot("var")
-    return p.agg(F.first("numbers", ignorenulls=True))
+    return g.pivot("var", list(var_keys)).agg(F.max("numbers"))

@@ -79,7 +79,7 @@ def item_prices(obs: DataFrame, this_round: str = config.THIS_ROUND,
         if p in cols:
             wc = cols.get(w, F.lit(None).cast("double"))
             cols[p] = X.safe_div(cols[p], wc)
-    keep = [m for m in measures if "weight" not in m.lower() and "observed" not in m.lower()]
+    keep = _means_wanted(measures)
     order = (F.when(F.col("month") == this_round, F.lit(config.ORDER_THIS))
              .when(F.col("month") == last_round, F.lit(config.ORDER_LAST))
              .otherwise(F.lit(config.ORDER_OTHER)))
@@ -89,5 +89,10 @@ def item_prices(obs: DataFrame, this_round: str = config.THIS_ROUND,
                       order.alias("collection_order"))
 
 
+def _means_wanted(measures: Sequence[str]) -> list[str]:
+    return [m for m in measures if "weight" not in m.lower() and "observed" not in m.lower()]
+
+
 def measure_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.startswith("price_") or c.endswith("_price")]
+    """The measures of an item price table: every one that ``item_prices`` keeps."""
+    return _means_wanted(price_columns(df.columns))

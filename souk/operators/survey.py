@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions import exprs as X
@@ -37,21 +37,45 @@ def _answers(df: DataFrame, questions: Sequence[str], independent: Sequence[str]
 
 
 def _per_grouping(fine: DataFrame, keys: Sequence[str], independent: Sequence[str],
-                  sums: Sequence[str]) -> DataFrame:
+                  sums: Sequence[str], lists: Sequence[str] = ()) -> DataFrame:
     """Counts per (grouping, value): sums over the other grouping columns of a
     table already grouped by all of them -- exact, tiny, and one GROUPING SETS
     pass, so ``fine`` is computed once."""
     ind = list(independent)
     sets = [[*keys, i] for i in ind]
     g = fine.groupingSets(sets, *keys, *ind).agg(
-        *[F.sum(c).alias(c) for c in sums], *[F.grouping(i).alias(f"__g_{i}") for i in ind])
+        *[F.sum(c).alias(c) for c in sums], *[F.collect_list(c).alias(c) for c in lists],
+        *[F.grouping(i).alias(f"__g_{i}") for i in ind])
     var, val = None, None
     for i in ind:
         hit = F.col(f"__g_{i}") == 0
         var = F.when(hit, F.lit(i)) if var is None else var.when(hit, F.lit(i))
         v = F.col(i).cast("string")
         val = F.when(hit, v) if val is None else val.when(hit, v)
-    return g.select(*keys, var.alias("independent_var"), val.alias("independent_var_value"), *sums)
+    return g.select(*keys, var.alias("independent_var"), val.alias("independent_var_value"), *sums, *lists)
+
+
+def _with_base(counts: DataFrame, column: str) -> DataFrame:
+    """``base``: the sum of ``column`` over an area's answers to a question, by
+    aggregation and join, so a question with many answers stays spread out."""
+    keys = ["dependent_var", "independent_var", "independent_var_value"]
+    base = counts.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.sum(column).alias("base"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return counts.join(base, same).drop(*[f"__{k}" for k in keys])
+
+
+def _merged_squares(parts: Column) -> Column:
+    """Squared deviations of a group from its parts (n, m, m2), merged pairwise:
+    no difference of large sums, so nearby large values keep their spread."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("m2"))
+
+    def merge(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        d = b["m"] - a["m"]
+        return F.struct(n.alias("n"), (a["m"] + d * b["n"] / n).alias("m"),
+                        (a["m2"] + b["m2"] + d * d * a["n"] * b["n"] / n).alias("m2"))
+
+    return F.aggregate(F.array_sort(parts), zero, merge, lambda a: a["m2"])
 
 
 def _finish(counts: DataFrame) -> DataFrame:
@@ -80,8 +104,7 @@ def select_one_shares(df: DataFrame, questions: Sequence[str],
         .groupBy("dependent_var", F.col("answer").alias("dependent_var_value"), *ind) \
         .agg(F.count(F.lit(1)).alias("n"))
     counts = _per_grouping(fine, ["dependent_var", "dependent_var_value"], ind, ["n"])
-    w = Window.partitionBy("dependent_var", "independent_var", "independent_var_value")
-    return _finish(counts.withColumn("base", F.sum("n").over(w)))
+    return _finish(_with_base(counts, "n"))
 
 
 def select_multiple_shares(df: DataFrame, questions: Sequence[str],
@@ -102,9 +125,7 @@ def select_multiple_shares(df: DataFrame, questions: Sequence[str],
         F.count(F.when(F.col("option") != "", 1)).alias("n"),
         F.count(F.when(F.col("pos") == 0, 1)).alias("b"))
     counts = _per_grouping(fine, ["dependent_var", "dependent_var_value"], ind, ["n", "b"])
-    w = Window.partitionBy("dependent_var", "independent_var", "independent_var_value")
-    with_base = counts.withColumn("base", F.sum("b").over(w)).where(F.col("n") > 0)
-    return _finish(with_base)
+    return _finish(_with_base(counts, "b").where(F.col("n") > 0))
 
 
 def numeric_means(df: DataFrame, questions: Sequence[str],
@@ -113,30 +134,26 @@ def numeric_means(df: DataFrame, questions: Sequence[str],
     cast to numbers, failures dropped.
 
     Answers are aggregated once per (question, every grouping column) into
-    mergeable parts -- exact decimal sum and count for the mean, count / mean
-    / sum of squared deviations for the spread -- and each grouping combines
-    its parts in one GROUPING SETS pass (parallel variance:
-    M2 = sum M2_i + sum n_i m_i^2 - (sum n_i m_i)^2 / n), so raw answers are
-    never duplicated per grouping.
+    mergeable parts -- sums and count for the mean, count / mean / sum of
+    squared deviations for the spread -- and each grouping combines its parts
+    in one GROUPING SETS pass, so raw answers are never duplicated per
+    grouping.  A group's parts are as many as the other grouping columns have
+    values.
     """
     ind = list(independent)
     ids = ["uuid", *ind]
     long = df.select(*ids, *[X.to_number(F.col(q).cast("string")).alias(q) for q in questions]) \
         .unpivot(ids, list(questions), "dependent_var", "x") \
         .where(F.col("x").isNotNull())
-    d = X.finite_decimal("x")
     fine = long.groupBy("dependent_var", *ind).agg(
-        F.sum(d).alias("s"), F.count(d).alias("nf"),
-        F.count(F.when(X.is_inf("x"), 1)).alias("ninf"),
-        F.count("x").alias("n"), F.avg("x").alias("m"),
-        (F.var_pop("x") * F.count("x")).alias("m2"))
-    fine = fine.withColumns({"nm": F.col("n") * F.col("m"),
-                             "nmm": F.col("n") * F.col("m") * F.col("m")})
-    g = _per_grouping(fine, ["dependent_var"], ind, ["s", "nf", "ninf", "n", "nm", "nmm", "m2"])
+        F.sum(X.decimal_part("x")).alias("s"), F.sum(X.double_part("x")).alias("r"), X.finite_count("x").alias("nf"),
+        F.count(F.when(X.is_inf("x"), 1)).alias("ninf"), F.count("x").alias("n"),
+        F.struct(F.count("x").cast("double").alias("n"), F.avg("x").alias("m"),
+                 (F.var_pop("x") * F.count("x")).alias("m2")).alias("part"))
+    g = _per_grouping(fine, ["dependent_var"], ind, ["s", "r", "nf", "ninf", "n"], ["part"])
     n = F.col("n")
-    m2 = F.col("m2") + F.col("nmm") - F.col("nm") * F.col("nm") / n
-    se = F.when(n > 1, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n - 1)) / F.sqrt(n))
-    numbers = F.when(F.col("ninf") == 0, X.exact_mean_of(F.col("s"), F.col("nf")))
+    se = F.when(n > 1, F.sqrt(_merged_squares(F.col("part")) / (n - 1)) / F.sqrt(n))
+    numbers = F.when(F.col("ninf") == 0, X.mean_of(F.col("s"), F.col("r"), F.col("nf")))
     g = g.select("dependent_var", "independent_var", "independent_var_value",
                  numbers.alias("numbers"), se.alias("se"))
     return g.select(
@@ -221,8 +238,8 @@ def label_choices(stats: DataFrame, choices: DataFrame, keep_unmatched: bool = F
 
 def attach_p_value(stats: DataFrame, tests: DataFrame) -> DataFrame:
     """Add a nullable ``p_value`` from a test table keyed by
-    (dependent_var, independent_var); no test -> NULL."""
-    t = tests.select("dependent_var", "independent_var", F.col("p_value").cast("double"))
+    (dependent_var, independent_var); no test -> NULL, of several the smallest."""
+    t = tests.groupBy("dependent_var", "independent_var").agg(F.min(F.col("p_value").cast("double")).alias("p_value"))
     return stats.join(t, ["dependent_var", "independent_var"], "left")
 
 
@@ -230,16 +247,22 @@ def format_stat(numbers: Column, lo: Column, hi: Column, percent: bool) -> Colum
     """a statistic as text, percent or 2 decimals, with ``(min-max)``.
 
     Percent: ``round(x*100)%``.  Otherwise the number and min at 2 decimals,
-    max at 0 decimals.  No interval leaves one trailing blank.  ``0 (0-0)``
+    max at 0 decimals; never in E notation.  A missing number is ``NA`` (``NA%``).
+    No interval leaves one trailing blank.  ``0 (0-0)``
     and ``0% (0%-0%)`` collapse to ``0`` and ``0%``.
     """
     def num(x: Column, d: int) -> Column:
-        return F.regexp_replace(X.half_even(x, d).cast("string"), r"\.0$", "")
+        r = X.half_even(x, d)
+        plain = r.try_cast("decimal(38,2)").cast("string")  # beyond that and for NaN, Inf: the double's own text
+        plain = F.regexp_replace(plain, r"(\.[0-9]*?)0+$", "$1")
+        return F.coalesce(F.regexp_replace(plain, r"\.$", ""), F.regexp_replace(r.cast("string"), r"\.0$", ""))
+
+    def percent_text(x: Column) -> Column:
+        return F.concat(X.na_text(num(x * 100, 0)), F.lit("%"))
 
     n2 = X.half_even(numbers, 2)
     if percent:
-        main = F.concat(num(n2 * 100, 0), F.lit("%"))
-        lo_s, hi_s = F.concat(num(lo * 100, 0), F.lit("%")), F.concat(num(hi * 100, 0), F.lit("%"))
+        main, lo_s, hi_s = percent_text(n2), percent_text(lo), percent_text(hi)
     else:
         main = num(n2, 2)
         lo_s, hi_s = num(lo, 2), num(hi, 0)

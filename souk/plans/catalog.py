@@ -149,9 +149,9 @@ QUERIES: dict[str, Callable[[MarketRound], DataFrame]] = {
     "attach_p_value": lambda m: m.with_p_value,
     "unpivot_items": q_unpivot_items,
     "pivot_two_values": lambda m: m.top_wide,
-    "area_by_var_wide": lambda m: R.area_by_var(m.stats),
+    "area_by_var_wide": lambda m: R.area_by_var(m.stats, config.BIND_AREA_KEYS),
     "report_long": lambda m: m.report_long,
-    "report_row": lambda m: m.report_row,
+    "report_by_settlement": lambda m: m.report_by_settlement,
     "flag_substring": q_flag_substring,
 }
 

@@ -30,7 +30,6 @@ from souk.sources import files as FS
 from souk.sources import tpch
 from souk.sources.store import materialize
 
-AREA_PREFIX = config.REPORT_REGION_PREFIX
 FOLLOWUPS = (("status_f_totalprice", "o_orderstatus", "F", "o_totalprice"),
              ("urgent_custkey", "o_orderpriority", "1-URGENT", "o_custkey"))
 
@@ -212,10 +211,8 @@ class MarketRound:
     @cached_property
     def tests(self) -> DataFrame:
         """Hypothesis-test results per (question, grouping).  No test engine
-        runs here, so the table is empty and every p-value is NULL, as for an
-        analysis without a test."""
-        return self.spark.createDataFrame(
-            [], "dependent_var string, independent_var string, p_value double")
+        runs here; the bound table names some tests twice and leaves others out."""
+        return tpch.test_results(self.spark, self.sf_dir)
 
     @cached_property
     def with_p_value(self) -> DataFrame:
@@ -226,6 +223,12 @@ class MarketRound:
         return S.label_choices(self.shares_one.where(F.col("dependent_var") == "home_region"),
                                tpch.choices(self.spark, self.sf_dir))
 
+    @cached_property
+    def labelled_categorical(self) -> DataFrame:
+        """Answers by their labels, as the top answers show them; an answer
+        that no choice list names keeps its code."""
+        return S.label_choices(self.categorical, tpch.choices(self.spark, self.sf_dir), keep_unmatched=True)
+
     def top_keys(self) -> list[tuple[str, str, int]]:
         out = []
         for vars_, k in ((config.BIND_TOP3_VARS, 3), (config.BIND_TOP2_VARS, 2)):
@@ -237,22 +240,22 @@ class MarketRound:
 
     @cached_property
     def top_answers(self) -> DataFrame:
-        cat = self.categorical
+        cat = self.labelled_categorical
         return R.top_answers(cat, config.BIND_TOP3_VARS, config.REPORT_AREAS, 3).unionByName(
             R.top_answers(cat, config.BIND_TOP2_VARS, config.REPORT_AREAS, 2))
 
     @cached_property
     def top_wide(self) -> DataFrame:
         """R3 + R6: one row, ``numbers_<key>`` and ``dependent_var_value_<key>``."""
-        cat = self.categorical
+        cat = self.labelled_categorical
         t = R.top_k(cat, config.BIND_TOP3_VARS, config.REPORT_AREAS, 3).unionByName(
             R.top_k(cat, config.BIND_TOP2_VARS, config.REPORT_AREAS, 2))
         t = t.select(X.paste("independent_var_value", "dependent_var", "rank").alias("new_var"),
                      (F.col("numbers") * 100).alias("numbers"), "dependent_var_value")
         keys = [f"{a}_{v}_{r}" for a, v, r in self.top_keys()]
         p = t.groupBy().pivot("new_var", keys).agg(
-            F.first("numbers", ignorenulls=True).alias("numbers"),
-            F.first("dependent_var_value", ignorenulls=True).alias("dependent_var_value"))
+            F.max("numbers").alias("numbers"),
+            F.max("dependent_var_value").alias("dependent_var_value"))
         ren = {}
         for k in keys:
             ren[f"{k}_numbers"] = f"numbers_{k}"
@@ -319,6 +322,7 @@ class MarketRound:
         pieces.append(R.to_long(self.rank, F.concat(F.lit("expansive_rank_"),
                                                     F.col("rank").cast("string")),
                                 text=F.col("settlement")))
+        pieces += [self.top_answers, self.area_scalars]
         # every piece is (key, num, str) in that order: a positional union
         # needs no name matching
         out = pieces[0]
@@ -327,9 +331,17 @@ class MarketRound:
         return out
 
     def _by_region(self, df: DataFrame) -> DataFrame:
-        prefix = F.when(F.col("regions") == "south west", F.lit(AREA_PREFIX["south west"])) \
-            .when(F.col("regions") == "west nile", F.lit(AREA_PREFIX["west nile"]))
-        return R.wide_to_long(df.where(F.col("regions").isin(list(AREA_PREFIX))), prefix, ["regions"])
+        """Cells of any region: its name without blanks is the key's prefix."""
+        prefix = F.concat(F.regexp_replace("regions", " ", ""), F.lit("_"))
+        return R.wide_to_long(df.where(F.col("regions").isNotNull()), prefix, ["regions"])
+
+    @cached_property
+    def report_by_settlement(self) -> DataFrame:
+        """The report's settlement cells as one row per settlement: this
+        round's means, all changes and the basket, in fixed columns."""
+        sett = self._this(self.level_means("settlement")).drop("month", "collection_order", "district", "regions")
+        meb = self._this(self.meb).drop("month", "collection_order", "regions", "district")
+        return C.merge_changes([sett, self.change_settlement_merged, meb], ["settlement"])
 
     @cached_property
     def report_row(self) -> DataFrame:

@@ -75,9 +75,13 @@ def _exact_mean(total: str, n: str) -> str:
 
 
 def clean_mean(x: str) -> str:
-    fin = f"CAST(CASE WHEN isfinite({x}) THEN {x} END AS DECIMAL(18,8))"
-    n = f"count({fin})"
+    dec = f"TRY_CAST(CASE WHEN abs({x}) < 1e7 THEN {x} END AS DECIMAL(18,8))"
+    fits = f"coalesce(CAST({dec} AS DOUBLE) = {x}, false)"
+    fin = f"CASE WHEN {fits} THEN {dec} END"
+    rest = f"sum(CASE WHEN isfinite({x}) AND NOT {fits} THEN {x} END)"
+    n = f"count(CASE WHEN isfinite({x}) THEN 1 END)"
     return (f"(CASE WHEN count(CASE WHEN isinf({x}) THEN 1 END) > 0 OR {n} = 0 THEN NULL "
+            f"WHEN {rest} IS NOT NULL THEN (coalesce(CAST(sum({fin}) AS DOUBLE), 0) + {rest}) / {n} "
             f"ELSE {_exact_mean(f'sum({fin})', n)} END)")
 
 
@@ -395,6 +399,9 @@ SURVEY = [
     ("stats", "SELECT * FROM shares_one UNION ALL BY NAME SELECT * FROM shares_multiple "
               "UNION ALL BY NAME SELECT * FROM numeric"),
     ("cat", f"SELECT * FROM stats WHERE dependent_var NOT IN ({', '.join(lit(n) for n in NUMERIC)})"),
+    ("choice", "SELECT CAST(n_regionkey AS VARCHAR) AS name, arg_min(n_name, n_nationkey) AS label FROM nation GROUP BY 1"),
+    ("catl", "SELECT cat.* REPLACE (coalesce(choice.label, cat.dependent_var_value) AS dependent_var_value) "
+             "FROM cat LEFT JOIN choice ON cat.dependent_var_value = choice.name"),
 ]
 STAT_COLS = ["dependent_var", "dependent_var_value", "independent_var", "independent_var_value",
              "numbers", "se", "min", "max", "repeat_var", "repeat_var_value"]
@@ -409,7 +416,7 @@ def topk_sql(vars_: list[str], k: int) -> str:
     vs = ", ".join(lit(v) for v in vars_)
     return f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY independent_var_value, dependent_var
     ORDER BY numbers DESC NULLS LAST, dependent_var_value ASC NULLS LAST) AS INTEGER) AS rank
-  FROM cat WHERE dependent_var IN ({vs}) AND independent_var_value IN ({AREAS})) WHERE rank <= {k}"""
+  FROM catl WHERE dependent_var IN ({vs}) AND independent_var_value IN ({AREAS})) WHERE rank <= {k}"""
 
 
 TOPK = [("topk", topk_sql(list(config.BIND_TOP3_VARS), 3) + " UNION ALL " +
@@ -486,8 +493,9 @@ LEFT JOIN (SELECT name, arg_min(label, seq) AS label FROM (
     SELECT CAST(n_nationkey AS BIGINT) AS seq, CAST(n_regionkey AS VARCHAR) AS name, n_name AS label FROM nation)
   GROUP BY name) l ON s.dependent_var_value = l.name"""
 
-AREA_BY_VAR = f"""PIVOT (SELECT independent_var_value, dependent_var || '.' || coalesce(dependent_var_value, 'NA') AS var,
-    {r6('numbers')} AS numbers FROM stats) ON var USING first(numbers) GROUP BY independent_var_value"""
+AREA_BY_VAR = "SELECT independent_var_value, " + ", ".join(
+    f"max({r6('numbers')}) FILTER (WHERE dependent_var || '.' || coalesce(dependent_var_value, 'NA') = {lit(k)}) AS {q(k)}"
+    for k in config.BIND_AREA_KEYS) + " FROM stats GROUP BY independent_var_value"
 
 # ----------------------------------------------------------------- cleaning
 DATA_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -505,7 +513,7 @@ CLEAN_BASE = [
   FROM orders WHERE o_orderkey % 7 = 0
   UNION ALL SELECT 5 * {SEQ}, '10000000', 'o_orderstatus', 'F', 'TRUE'"""),
     ("classified", f"""SELECT l.seq, l.uuid, l.variable, l.new_value,
-    coalesce(TRY_CAST(l.change AS BOOLEAN), true) AS change,
+    coalesce(l.change NOT IN ('F', 'FALSE', 'false', 'False'), true) AS change,
     CASE WHEN c.n > 1 THEN 'duplicated_id' WHEN c.n IS NULL THEN 'unknown_id'
       WHEN l.variable NOT IN ({', '.join(lit(c) for c in sorted(DATA_COLS))}) THEN 'unknown_variable' END AS reason
   FROM cleanlog l LEFT JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS id, count(*) AS n FROM cdata GROUP BY 1) c
@@ -546,8 +554,8 @@ def _w2l(src: str, prefix_sql: str, ids: list[str], cols: list[str]) -> str:
             f"({inner}) UNPIVOT INCLUDE NULLS (val FOR var IN ({', '.join(q(c) for c in cols)}))")
 
 
-REGION_PREFIX = "(CASE WHEN regions = 'south west' THEN 'southwest_' WHEN regions = 'west nile' THEN 'westnile_' END)"
-REGION_ONLY = "regions IN ('south west', 'west nile')"
+REGION_PREFIX = "(replace(regions, ' ', '') || '_')"
+REGION_ONLY = "regions IS NOT NULL"
 MEB_REG_COLS = [("regional_" + c if c in ("meb_food", "meb_full") else c) for c in MEB_COLS]
 MEB_NAT_COLS = [("national_" + c if c in ("meb_food", "meb_full") else c) for c in MEB_COLS]
 
@@ -575,13 +583,6 @@ REPORT_PIECES = [
     "SELECT 'expansive_rank_' || CAST(rank AS VARCHAR), CAST(NULL AS DOUBLE), settlement FROM rank_tb",
 ]
 
-# a report cell as text: the text if any, else the number rounded half-even to
-# an integer (on its shortest decimal text, like Spark's bround); NaN / Inf spelled out
-_R0 = ("CAST(round_even(CAST(CAST(num AS VARCHAR) AS DECIMAL(38,20)), 0) AS DOUBLE)")
-CELL_TEXT = (f"coalesce(str, CASE WHEN isnan(num) THEN 'NaN' WHEN num = CAST('inf' AS DOUBLE) THEN 'Inf' "
-             f"WHEN num = CAST('-inf' AS DOUBLE) THEN '-Inf' "
-             f"ELSE CAST(CAST({_R0} AS BIGINT) AS VARCHAR) END)")
-
 COUNTS = f"""SELECT 'national' AS level, count(*) AS num_market_assessed, CAST(sum(n) AS BIGINT) AS num_assessed
 FROM cells
 UNION ALL
@@ -652,7 +653,10 @@ def build() -> dict[str, str]:
     out["top_answers"] = _sql(sv + TOPK + [("tl", TOP_LONG)], f"SELECT key, {r6('num')} AS num, str FROM tl")
     out["area_scalars"] = _sql(sv + [("a", AREA_SCALARS)], f"SELECT key, {r6('num')} AS num, str FROM a")
     out["stat_format"] = _sql(sv, STAT_FORMAT)
-    out["attach_p_value"] = _sql(sv + [("pv", "SELECT *, CAST(NULL AS DOUBLE) AS p_value FROM stats")],
+    tests = (f"SELECT {lit(config.BIND_SELECT_ONE[0])} AS dependent_var, CASE WHEN r_regionkey % 2 = 0 THEN 'regions' "
+             "ELSE 'country' END AS independent_var, min((r_regionkey + 1) / 100) AS p_value FROM region GROUP BY ALL")
+    out["attach_p_value"] = _sql(sv + [("tests", tests),
+                                       ("pv", "SELECT * FROM stats LEFT JOIN tests USING (dependent_var, independent_var)")],
                                  rounded(STAT_COLS + ["p_value"], "pv", STAT_DBL + ["p_value"]))
     out["flag_substring"] = _sql(sv, "SELECT uuid, event_types, mobile_accepted FROM se")
     top_cols = [c for k in top_keys() for c in (f"numbers_{k}", f"dependent_var_value_{k}")]
@@ -671,10 +675,18 @@ def build() -> dict[str, str]:
     out["derive_followups"] = _sql(cl, "SELECT *, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS "
                                    "status_f_totalprice, CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END "
                                    f"AS urgent_custkey FROM ({rounded(DATA_COLS, f'({CLEAN})', ['o_totalprice'])})")
-    rep = ch + cnt[len(B):] + [("rank_tb", RANK)] + [("rl", " UNION ALL ".join(REPORT_PIECES))]
+    rep = ch + cnt[len(B):] + [("rank_tb", RANK)] + sv + TOPK + \
+        [("rl", " UNION ALL ".join([*REPORT_PIECES, TOP_LONG, AREA_SCALARS]))]
     out["report_long"] = _sql(rep, f"SELECT key, {r6('num')} AS num, str FROM rl")
-    out["report_row"] = _sql(rep, f"SELECT * FROM (PIVOT (SELECT key, {CELL_TEXT} AS v FROM rl) "
-                                  "ON key USING first(v))")
+    by_sett = CH_ITEM_COLS + CH_SMEB_COLS
+    out["report_by_settlement"] = _sql(
+        ch + [("rs", f"SELECT a.settlement, {', '.join('a.' + q(c) for c in PRICES)}, "
+                     f"{', '.join('c.' + q(c) for c in by_sett)}, {', '.join('m.' + q(c) for c in MEB_COLS)} "
+                     "FROM (SELECT * FROM all_means WHERE level = 'settlement' AND collection_order = 4) a "
+                     "LEFT JOIN ch_settlement_merged c ON a.settlement IS NOT DISTINCT FROM c.settlement "
+                     "LEFT JOIN (SELECT * FROM meb WHERE collection_order = 4) m "
+                     "ON a.settlement IS NOT DISTINCT FROM m.settlement")],
+        rounded(["settlement"] + PRICES + by_sett + MEB_COLS, "rs", PRICES + by_sett + MEB_COLS))
     return out
 
 

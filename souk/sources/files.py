@@ -35,14 +35,14 @@ def read_table(
         .option("ignoreTrailingWhiteSpace", False).option("nullValue", None)
     if columns is not None:
         reader = reader.schema(StructType([StructField(c, StringType()) for c in columns]))
-    df = reader.csv(path)
-    num = set(numeric)
+    df = N.syntactic_names(reader.csv(path))  # before any use: headers may hold dots
+    num = {N.syntactic_name(c) for c in numeric}
     tokens = list(null_tokens)
     out = []
     for c in df.columns:
         v = F.when(~F.col(c).isin(tokens), F.col(c))
         out.append((X.to_number(v) if c in num else v).alias(c))
-    return N.syntactic_names(df.select(*out))
+    return df.select(*out)
 
 
 def read_any(spark: SparkSession, path: str, fmt: str | None = None, **csv_kw) -> DataFrame:
@@ -64,7 +64,7 @@ def read_round(
     if id_col != "uuid" and id_col in df.columns:
         df = df.withColumnRenamed(id_col, "uuid")
     if "month" in df.columns:
-        df = df.withColumn("month", X.to_number(F.col("month").cast("string")).cast("int"))
+        df = df.withColumn("month", X.to_number(F.col("month").cast("string")).try_cast("int"))
     if settlement_fix and "settlement" in df.columns:
         df = df.withColumn("settlement", X.first_replace("settlement", *settlement_fix))
     return df
@@ -81,11 +81,20 @@ def read_dimension(spark: SparkSession, path: str, **kw) -> DataFrame:
 
 def read_cleaning_log(spark: SparkSession, path: str, id_col: str = "uuid",
                       variable_col: str = "indicator", value_col: str = "new_value",
-                      change_col: str = "change") -> DataFrame:
-    """Cleaning log with a stable sequence number (file order) for last-write-wins."""
+                      change_col: str = "change", seq_col: str | None = None) -> DataFrame:
+    """Cleaning log with the sequence number that decides which write is last.
+
+    ``seq_col`` names it if the log has one.  Without it the log has to be one
+    file, whose row order is the log's; the order of several files is nobody's
+    to guess, so that is an error.
+    """
     df = read_any(spark, path)
+    if seq_col is None and len(df.inputFiles()) > 1:
+        raise ValueError("a cleaning log of several files needs a sequence column")
+    # one file is read in ranges of rising position, so the id rises with the row
+    seq = F.monotonically_increasing_id() if seq_col is None else F.col(seq_col).try_cast("long")
     return df.select(
-        F.monotonically_increasing_id().alias("seq"),
+        seq.alias("seq"),
         F.col(id_col).cast("string").alias("uuid"),
         F.col(variable_col).cast("string").alias("variable"),
         F.col(value_col).cast("string").alias("new_value"),

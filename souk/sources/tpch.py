@@ -231,3 +231,12 @@ def cleaning_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("o_orderstatus").alias("variable"), F.lit("F").alias("new_value"),
         F.lit("TRUE").alias("change"))
     return log.unionByName(unknown)
+
+
+def test_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test results for the first select-one question, one per region of the
+    table: several per grouping, none for other questions."""
+    r = table(spark, sf_dir, "region")
+    grouping = F.when(F.col("r_regionkey") % 2 == 0, F.lit("regions")).otherwise(F.lit("country"))
+    return r.select(F.lit(config.BIND_SELECT_ONE[0]).alias("dependent_var"), grouping.alias("independent_var"),
+                    ((F.col("r_regionkey") + 1) / 100).alias("p_value"))
