@@ -21,11 +21,11 @@ from souk.operators import reshape as R
 from souk.operators import survey as S
 from souk.plans.market import MarketRound
 
-_ROUNDS: dict[tuple[int, str], MarketRound] = {}
+_ROUNDS: dict[tuple[str, str], MarketRound] = {}
 
 
 def market_round(spark: SparkSession, sf_dir: str) -> MarketRound:
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)  # the written tables belong to the application
     if key not in _ROUNDS:
         _ROUNDS[key] = MarketRound(spark, sf_dir)
     return _ROUNDS[key]
