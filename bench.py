@@ -44,6 +44,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     from souk.plans import catalog
     from souk.session import local_session
+    from souk.sources.store import release
     scratch = tempfile.mkdtemp(prefix="souk-bench-")
     events = os.path.join(scratch, "events")
     os.makedirs(events)
@@ -69,6 +70,7 @@ def main() -> None:
 
     one_run("warmup")  # JIT, file listing
     timed = [one_run(f"run{i}") for i in range(runs)]
+    release(spark)
     per_query = {n: round(statistics.median(r[n] for r in timed), 3) for n in names}
     totals = [sum(r.values()) for r in timed]
     spark.stop()

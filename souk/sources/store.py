@@ -36,6 +36,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This process's folder in the shared one."""
+    return f"{checkpoint_root(spark)}/souk-{_RUN}"
+
+
+def release(spark: SparkSession) -> bool:
+    """Deletes every table this process wrote; call it when no result that reads
+    them is needed any more.  False if there was nothing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once under the checkpoint folder and return a scan of it.
 
@@ -43,7 +55,7 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     them prune whole directories.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/souk-{_RUN}/{name}-{uuid.uuid4().hex[:8]}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)

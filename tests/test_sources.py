@@ -49,3 +49,14 @@ def test_export_writes_every_table(spark, tmp_path):
     assert len(paths) == 9 + 6 + 2
     report = spark.read.option("header", True).csv(paths["report"])
     assert report.count() == 1 and len(report.columns) > 100
+
+
+def test_tables_are_written_in_the_run_folder(spark):
+    import os
+    from souk.sources import store
+    kept = store.materialize(spark.range(3).toDF("x"), "probe")
+    assert kept.count() == 3
+    folder = store.run_folder(spark).removeprefix("file:")
+    assert os.path.isdir(folder)
+    # only look: other tests of this session still read their tables
+    assert any(n.startswith("probe-") for n in os.listdir(folder))
