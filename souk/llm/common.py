@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.sources.store import checkpoint_root
+from souk.sources.store import run_folder
 
 #: Unsigned 2^63, the range of the non-negative hash used for sampling.
 HASH_RANGE = float(1 << 63)
@@ -24,10 +24,11 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
 
     The folder is shared by the driver and all executors, so the table outlives
     any executor and cuts the lineage.  Only a session on one machine may go
-    without the setting (tests); ``checkpoint_root`` raises an error on others.
+    without the setting (tests); others raise an error.  ``store.release``
+    deletes what the process wrote.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/souk-llm/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
