@@ -21,6 +21,51 @@ def queries() -> dict:
     }
 
 
+def _runs(words: str, length: str) -> str:
+    """SQL list of all runs of ``length`` words, as texts."""
+    return f"list_transform(range(1, len({words}) - {length} + 2), lambda i: array_to_string({words}[i:i + {length} - 1], ' '))"
+
+
+NOTE_WORDS = "regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+DECONTAMINATION = f"""WITH items AS (
+  SELECT DISTINCT item_id, w, least(5, len(w)) AS n FROM (SELECT item_id, {NOTE_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), item_shingles AS (
+  SELECT item_id, w, n, s, count(*) OVER (PARTITION BY item_id, w) AS n_item
+  FROM (SELECT DISTINCT item_id, w, n, unnest({_runs('w', 'n')}) AS s FROM items)
+), docs AS (
+  SELECT DISTINCT doc_id, md5(text) AS t, {NOTE_WORDS} AS w FROM documents WHERE text IS NOT NULL
+), doc_shingles AS (
+  SELECT DISTINCT doc_id, t, n, unnest({_runs('w', 'n')}) AS s FROM docs, (SELECT DISTINCT n FROM items)
+), shared AS (
+  SELECT doc_id, t, item_id, w, n_item, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (n, s) GROUP BY ALL
+)
+SELECT DISTINCT doc_id, item_id, CAST(n_item AS INTEGER) AS n_item, CAST(n_shared AS INTEGER) AS n_shared,
+  n_shared / n_item AS containment
+FROM shared WHERE n_shared >= 0.8 * n_item
+QUALIFY row_number() OVER (PARTITION BY doc_id, t, item_id ORDER BY n_shared / n_item DESC, n_shared DESC, n_item DESC) = 1"""
+
+ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR_DEDUP = f"""WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest({_runs('w', 'least(5, len(w))')}) AS s FROM docs WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+    GROUP BY ALL) p
+  JOIN sizes m ON m.doc_id = a JOIN sizes k ON k.doc_id = b WHERE 100 * common >= 85 * (m.n + k.n - common)
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
+FROM docs d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) r USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None yet: see the brute-force tests in tests/llm."""
-    return {}
+    """The operators whose whole result SQL can express; tests/llm checks the others against brute force."""
+    return {"op3_decontamination": DECONTAMINATION, "op5_near_dedup": NEAR_DEDUP}
