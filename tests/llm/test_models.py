@@ -6,8 +6,8 @@ import random
 import zlib
 
 import numpy as np
-from llm.conftest import EDGE_ROWS, SF, SF_LABELLED, docs_frame
-from llm.test_pairs import brute_components, brute_items
+from corpus import EDGE_ROWS, SF, SF_LABELLED, docs_frame, edge_docs, no_docs, small, small_rows  # noqa: F401
+from test_pairs import brute_components, brute_items
 from pyspark.sql import functions as F
 
 import corpus_pipeline

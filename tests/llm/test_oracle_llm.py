@@ -7,7 +7,7 @@ import sys
 
 import pytest
 from compare import compare, duck
-from llm.conftest import SF
+from corpus import SF
 
 from souk.llm import queries
 

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from llm.conftest import BASE, EDGE_ROWS, SF, docs_frame
+from corpus import BASE, EDGE_ROWS, SF, docs_frame, edge_docs, no_docs, small, small_rows  # noqa: F401
 
 from souk.llm import decontaminate, near_dedup
 from souk.llm.components import components

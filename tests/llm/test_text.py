@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from llm.conftest import EDGE_ROWS, docs_frame
+from corpus import EDGE_ROWS, docs_frame, edge_docs, no_docs, small, small_rows  # noqa: F401
 from pyspark.sql import functions as F
 
 from souk.llm import fingerprints, license_scan, pieces, sharding
