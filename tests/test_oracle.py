@@ -6,8 +6,9 @@ import pytest
 import __spark_entry__ as E
 from compare import compare, duck
 from conftest import SF_SMALL
+from souk.plans import catalog, oracle
 
-SQL = E.oracle_sql()
+SQL = oracle.oracle_sql()
 NAMES = sorted(SQL)
 
 
@@ -23,7 +24,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(SQL)
+    assert set(catalog.queries()) == set(SQL) <= set(E.queries())
 
 
 def test_entry_smoke(spark):
