@@ -52,11 +52,19 @@ def word_array(text: Column) -> Column:
 
 
 def shingle_hashes(hashes: Column, length: int) -> Column:
-    """64-bit hashes of all runs of ``length`` words, each once, from the words' hashes."""
-    last = F.size(hashes) - length
-    runs = F.transform(F.sequence(F.lit(0), last),
-                       lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(length)]))
-    return F.when(last >= 0, F.array_distinct(runs)).otherwise(F.array().cast("array<long>"))
+    """64-bit hashes of all runs of ``length`` words, each once, from the words' hashes.
+
+    ``hashes`` is bound to a variable first: a filter on the result that the
+    optimizer moves below the hashes' own projection would else compute all of
+    them again for every run.
+    """
+
+    def runs(h: Column) -> Column:
+        last = F.size(h) - length
+        each = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(length)]))
+        return F.when(last >= 0, F.array_distinct(each)).otherwise(F.array().cast("array<long>"))
+
+    return F.get(F.transform(F.array(hashes), runs), F.lit(0))
 
 
 def word_hashes(text: Column) -> Column:
@@ -111,7 +119,7 @@ def find_items(docs: DataFrame, items: DataFrame, params: Params = Params()) ->
     for length in sorted(lengths) or [params.words]:
         samples = known.where(F.col("length") == length).select("item", "needed", F.explode("sample").alias("shingle"))
         hashed = docs.where("text is not null").select(doc_id, text_hash, word_hashes(F.col("text")).alias("h"))
-        exploded = hashed.select("doc_id", "text_hash", F.explode(shingle_hashes(F.col("h"), length)).alias("shingle"))
+        exploded = hashed.select("doc_id", "text_hash", F.explode_outer(shingle_hashes(F.col("h"), length)).alias("shingle"))
         n_samples = samples.count()
         hits = exploded.join(sized(samples, n_samples, params.broadcast_rows), "shingle")
         some = hits.groupBy("doc_id", "text_hash", "item").agg(F.count("*").alias("hits"), F.first("needed").alias("needed"))
