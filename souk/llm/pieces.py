@@ -19,6 +19,7 @@ are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +31,7 @@ from souk.llm.common import table
 
 #: The model file of the production query (a parameter of ``load``).
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words remembered per task (about 250 bytes each).
+#: Words remembered per task, in each of two generations (about 250 bytes each).
 REMEMBERED = 200_000
 #: Score of a character that no piece covers, below the lowest piece.
 UNKNOWN_PENALTY = 10.0
@@ -89,38 +90,49 @@ class Encoder:
                 node = child
             self.piece[node], self.score[node] = i, score
         self.fail = [0] * len(self.next)
-        self.output = [0] * len(self.next)  # the next shorter suffix that is a piece; 0: none
+        #: The pieces that end at a node, longest first, as (length, score, id): its own,
+        #: then those of its output link, the next shorter suffix that is a piece.
+        self.ends: list[tuple] = [()] * len(self.next)
         queue = list(self.next[0].values())
         for node in queue:
             for ch, child in self.next[node].items():
                 f = self.fail[node]
                 while f and ch not in self.next[f]:
                     f = self.fail[f]
-                f = self.next[f].get(ch, 0)
-                self.fail[child] = f
-                self.output[child] = f if self.piece[f] >= 0 else self.output[f]
+                self.fail[child] = self.next[f].get(ch, 0)
                 queue.append(child)
+            own = ((self.length[node], self.score[node], self.piece[node]),) if self.piece[node] >= 0 else ()
+            self.ends[node] = own + self.ends[self.fail[node]]
+        self.moves: list[dict[str, int]] = [dict(children) for children in self.next]  # with failures followed
         # words can be cut out only if no piece has a space after another character, or a line end
         apart = all(" " not in t.lstrip(" ") and "\n" not in t for t in model.pieces)
         self.cut = re.compile(r"\n| *[^ \n]+| +").findall if apart else lambda t: [t] if t else []
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def follow(self, node: int, ch: str) -> int:
+        """Where ``ch`` leads from ``node`` by its failure links; remembered for characters of pieces."""
+        at = node
+        while at and ch not in self.next[at]:
+            at = self.fail[at]
+        found = self.next[at].get(ch, 0)
+        if found:
+            self.moves[node][ch] = found
+        return found
 
     def best_path(self, text: str) -> list[int]:
         """Ids of the highest-scoring segmentation of ``text``."""
-        nxt, fail, piece, output, length, score = self.next, self.fail, self.piece, self.output, self.length, self.score
-        best, came = [0.0], [0]  # best score and the node of the last piece (0: a bare character)
+        moves, ends, unknown = self.moves, self.ends, self.unknown
+        best, came = [0.0], [None]  # best score and the last piece (None: a bare character)
         node = 0
-        for at, ch in enumerate(text):
-            while node and ch not in nxt[node]:
-                node = fail[node]
-            node = nxt[node].get(ch, 0)
-            top, how = best[at] + self.unknown, 0
-            end = node if piece[node] >= 0 else output[node]
-            while end:
-                s = best[at + 1 - length[end]] + score[end]
+        for at, ch in enumerate(text, 1):
+            after = moves[node].get(ch)
+            node = self.follow(node, ch) if after is None else after
+            top, how = best[-1] + unknown, None
+            for end in ends[node]:
+                s = best[at - end[0]] + end[1]
                 if s > top:
                     top, how = s, end
-                end = output[end]
             best.append(top)
             came.append(how)
         ids: list[int] = []
@@ -128,8 +140,8 @@ class Encoder:
         while at:
             how = came[at]
             if how:
-                ids.append(piece[how])
-                at -= length[how]
+                ids.append(how[2])
+                at -= how[0]
             else:
                 ids += [self.model.byte_ids[b] for b in reversed(text[at - 1].encode("utf-8", "surrogatepass"))]
                 at -= 1
@@ -139,14 +151,17 @@ class Encoder:
         """Ids of a whole text; a space is put before it, as the model's pieces expect."""
         if not text:
             return np.empty(0, np.int32)
-        known, parts = self.known, []
+        known, older, parts = self.known, self.older, []
         for word in self.cut(" " + text):
             ids = known.get(word)
             if ids is None:
-                ids = np.array(self.best_path(word), np.int32).tobytes()
+                ids = older.get(word)
+                if ids is None:
+                    ids = array("i", self.best_path(word)).tobytes()
                 if len(word) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
+                    if len(known) >= REMEMBERED:  # words not met again for so long are forgotten
+                        known, older = {}, known
+                        self.known, self.older = known, older
                     known[word] = ids
             parts.append(ids)
         return np.frombuffer(b"".join(parts), np.int32)
