@@ -13,6 +13,11 @@ from souk.llm import decontaminate, language_id, near_dedup, pieces, toxicity
 from souk.llm.common import held_out, table, write_shared
 
 
+#: Near copies from a Jaccard similarity of 0.8 on, in five-word shingles (op5's own contract says 0.85);
+#: of the pairs at 0.8, (1 - 0.8^4)^27 = 6.6e-7 share no band.
+NEAR_COPIES = near_dedup.Params(percent=80, bands=27)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear (a text without letters or with a narrow margin goes)."""
     return language_id.drop_rejected(docs, language_id.fit(docs.where(~held_out(4, 2))))
@@ -25,7 +30,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, NEAR_COPIES)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 from corpus import EDGE_ROWS, SF, SF_LABELLED, docs_frame, edge_docs, no_docs, small, small_rows  # noqa: F401
-from test_pairs import brute_components, brute_items
+from test_pairs import brute_components, brute_items, edited_copies
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -211,3 +211,22 @@ def test_pipeline_against_its_parts(spark, small):
     assert set(got) == {d for d, _ in rows} and bad
     encoder = pieces.Encoder(pieces.load())
     assert all(got[d]["token_ids"] == encoder.encode(t).tolist() and got[d]["round_trip"] for d, t in rows)
+
+
+def test_pipeline_drops_near_copies_from_80_percent_on(spark, small):
+    """Pairs between 0.80 and 0.85 go, too; each base text stands beside one edited copy."""
+    rows = []
+    for seed in range(40):
+        words = [f"{seed}-{i}" for i in range(60)]
+        base = " ".join(words)
+        for at in range(seed % 4):
+            words[8 + 14 * at] = "other"
+        rows += [(2 * seed, base), (2 * seed + 1, " ".join(words))]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(edited_copies(40, 1, 6))]
+    got = corpus_pipeline.near_duplicates(spark, docs_frame(spark, rows), SF)
+    want = {d for d, _, c in brute_components(rows, 80) if d == c}
+    assert {r["doc_id"] for r in got.select("doc_id").collect()} == want
+    assert want != {d for d, _, c in brute_components(rows) if d == c}
+    own = corpus_pipeline.near_duplicates(spark, small.select("doc_id", "text"), SF)
+    texts = [(r["doc_id"], r["text"]) for r in small.select("doc_id", "text").collect()]
+    assert {r["doc_id"] for r in own.collect()} == {d for d, _, c in brute_components(texts, 80) if d == c}
