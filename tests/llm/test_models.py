@@ -230,3 +230,35 @@ def test_pipeline_drops_near_copies_from_80_percent_on(spark, small):
     own = corpus_pipeline.near_duplicates(spark, small.select("doc_id", "text"), SF)
     texts = [(r["doc_id"], r["text"]) for r in small.select("doc_id", "text").collect()]
     assert {r["doc_id"] for r in own.collect()} == {d for d, _, c in brute_components(texts, 80) if d == c}
+
+
+def test_history_tells_tail_words_apart(spark):
+    """Two equally frequent rare words, each after its own word; the whole vocabulary sums to 1 after either."""
+    rng = random.Random(3)
+    fill = [f"f{i}" for i in range(35)]
+    lines = []
+    for i in range(1500):
+        pair = [("left", "zebra"), ("right", "quartz")][i % 2]
+        lines.append(" ".join([*(rng.choice(fill) for _ in range(45)), *pair, *(rng.choice(fill) for _ in range(5)), f"once{i // 2}"]))
+    train = docs_frame(spark, list(enumerate(lines)))
+    p = language_model.Params(classes=4, class_words=8, class_rows=256, word_rows=1024, rounds=2, batch=256, head_words=200)
+    probes = [(1, "left zebra"), (2, "left quartz"), (3, "right quartz"), (4, "right zebra")]
+    # more frequent fillers fill the 31 head symbols, so both words are in the tail
+    counts = language_model.count_words(train)
+    v = language_model.vocabulary(counts, p)
+    assert v.ranks[b"zebra"] >= p.symbols - 1 and v.ranks[b"quartz"] >= p.symbols - 1 and v.depth >= 3
+    got = {r["doc_id"]: r["score"] for r in language_model.score(docs_frame(spark, probes), train, p).collect()}
+    assert got[1] > got[2] + 0.3 and got[3] > got[4] + 0.3
+
+    w = language_model.train_weights(train, v, p)
+    reader = language_model.Reader(v, p)
+    words = sorted({x for t in lines for x in language_model.tokens(t)} - set(list(v.ranks)[:p.symbols - 1]))
+    ranks, codes = reader.read(words)
+    paths = reader.paths(words, ranks, codes)
+    c = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    own = np.array([c[x] for x in words], float)
+    assert np.allclose(np.bincount(paths, own, len(v.leaf_mass)), v.leaf_mass)
+    _, before = reader.read([b"left", b"zebra"])
+    f = np.repeat(language_model.features([before])[1:], len(words), axis=0)
+    share = np.exp(language_model.tail_log_probability(w, f, paths, v.depth, p)) * own / v.leaf_mass[paths]
+    assert abs(share.sum() - 1) < 1e-4
