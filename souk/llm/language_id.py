@@ -50,7 +50,9 @@ def fit(train: DataFrame, params: Params = Params()) -> dict[str, bytes]:
     hash; copies of a text count once.  Only the sample reaches the driver.
     """
     rows = train.where("lang is not null and text is not null").select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # distinct texts (within a few percent), as the coin below is thrown once per text and copies share it
+    counts = {r["lang"]: max(r["n"], 1) for r in
+              rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not counts:
         return {}
     # a hash coin thins each language to a few times the sample before anything moves

@@ -53,6 +53,14 @@ def test_language_edges(small, edge_docs, no_docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in got if not r["rejected"])
 
 
+def test_language_of_many_copies_keeps_its_sample(spark):
+    """A language whose rows are nearly all copies of one text still gives all its texts to the sample."""
+    copies = spark.range(100_000).select(F.lit("copied text again").alias("text"), F.lit("xx").alias("lang"))
+    others = spark.createDataFrame([(f"own text {i} of few", "xx") for i in range(40)], "text string, lang string")
+    got = language_id.fit(copies.unionByName(others))["xx"].decode()
+    assert "copied text again" in got and all(f"own text {i} of few" in got for i in range(40))
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
