@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from souk.llm import (decontaminate, fingerprints, language_id, language_model, license_scan, near_dedup, pieces,
-                      quality, sharding, toxicity)
+from souk.llm import (collocations, decontaminate, embedding_dedup, fingerprints, language_id, language_model, license_scan,
+                      near_dedup, pieces, quality, sharding, spelling, toxicity)
 
 
 def queries() -> dict:
     return {
         "op10_language_model": language_model.query,
+        "op11_embedding_dedup": embedding_dedup.query,
+        "op12_collocations": collocations.query,
+        "op13_spelling_variants": spelling.query,
         "op1_toxicity": toxicity.query,
         "op2_feistel_sharding": sharding.query,
         "op3_decontamination": decontaminate.query,
@@ -65,7 +68,59 @@ NEAR_DEDUP = f"""WITH RECURSIVE docs AS (
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept
 FROM docs d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) r USING (doc_id)"""
 
+EMBEDDING_DEDUP = """WITH RECURSIVE raw AS (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+), vectors AS (
+  SELECT * FROM raw WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.i AS a, y.i AS b FROM vectors x JOIN vectors y ON x.i <> y.i AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.9
+), reached AS (
+  SELECT i, i AS other FROM raw
+  UNION SELECT r.i, l.b FROM reached r JOIN links l ON l.a = r.other
+), least AS (
+  SELECT r.i, min(o.vec_id) AS component_id FROM reached r JOIN raw o ON o.i = r.other GROUP BY r.i
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = raw.i) AS n_links, component_id,
+  coalesce(vec_id = component_id, true) AS kept
+FROM raw JOIN least USING (i)"""
+
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+COLLOCATIONS = rf"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, {LETTERS}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), spoken AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), sizes AS (
+  SELECT lang, w, unnest([1, 2, 3, 4]) AS size FROM spoken
+), runs AS (
+  SELECT lang, size, unnest({_runs('w', 'size')}) AS phrase FROM sizes WHERE len(w) >= size
+), counts AS (
+  SELECT lang, size, phrase, count(*) AS n FROM runs GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang
+), parts AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE n >= 30
+), cuts AS (
+  SELECT lang, phrase, n AS a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM parts WHERE size > 1)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.n AS l, y.n AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (x.n + y.n) AS BIGINT) AS score
+  FROM cuts c JOIN parts x ON x.lang = c.lang AND x.phrase = c.first JOIN parts y ON y.lang = c.lang AND y.phrase = c.rest
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (CAST(2000000 AS HUGEINT) * c.a) // (x.n + y.n), c.k) = 1
+), around AS (
+  SELECT lang, phrase, max(n) AS n FROM (
+    SELECT lang, n, unnest(list_concat({_runs('w', '2')}, CASE WHEN size = 4 THEN {_runs('w', '3')} ELSE [] END)) AS phrase
+    FROM parts WHERE size > 2) GROUP BY ALL
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, t.n, score
+FROM scored s JOIN totals t ON t.lang = s.lang LEFT JOIN around o ON o.lang = s.lang AND o.phrase = s.phrase
+WHERE o.n IS NULL OR CAST(100 AS HUGEINT) * o.n < CAST(80 AS HUGEINT) * a
+QUALIFY rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The operators whose whole result SQL can express; tests/llm checks the others against brute force."""
-    return {"op3_decontamination": DECONTAMINATION, "op5_near_dedup": NEAR_DEDUP}
+    return {"op3_decontamination": DECONTAMINATION, "op5_near_dedup": NEAR_DEDUP, "op11_embedding_dedup": EMBEDDING_DEDUP,
+            "op12_collocations": COLLOCATIONS}
