@@ -107,9 +107,6 @@ BASKET_TABLE_NAMES = (
     "Percent change MEB Regional", "Percent change MEB National",
 )
 
-# Rows in one median group above which the distributed (range-partitioned)
-# median is used instead of Spark's per-group median.
-
 # ---------------------------------------------------------------------------
 # Binding of the workflow onto the TPC-H-like test tables.
 # ---------------------------------------------------------------------------
@@ -146,3 +143,28 @@ BIND_AREA_KEYS = (
     "o_orderstatus.F", "o_orderstatus.O", "o_orderstatus.P",
 )
 BIND_FLAG_WORD = "purchase"
+BIND_NATIONS = 25
+BIND_SEGMENTS = ("automobile", "building", "furniture", "household", "machinery")
+#: The analysis plan: question, type, grouping variable, repeat variable.
+BIND_PLAN = (
+    ("o_orderpriority", "categorical", "country", None),
+    ("o_orderpriority", "categorical", "regions", None),
+    ("o_orderpriority", "categorical", "regions", "o_orderstatus"),
+    ("o_orderstatus", "categorical", "home_region", None),
+    ("home_region", "categorical", "country", "o_orderpriority"),
+    ("home_nation", "categorical", "country", None),
+    ("event_types", "categorical", "country", None),
+    ("event_types", "categorical", "regions", "mobile_accepted"),
+    ("mobile_accepted", "categorical", "regions", None),
+    ("o_totalprice", "numerical", "home_region", None),
+    ("o_totalprice", "numerical", "regions", "o_orderstatus"),
+    ("customer_number", "numerical", "country", None),
+    ("customer_number", "numerical", "no_such_column", None),
+)
+#: The questionnaire: question, type and choice list.
+BIND_QUESTIONS = (
+    ("o_orderpriority", "select_one priorities"), ("o_orderstatus", "select_one statuses"),
+    ("home_region", "select_one region_names"), ("home_nation", "select_one nation_names"),
+    ("event_types", "select_multiple event_names"), ("mobile_accepted", "select_one yes_no"),
+    ("o_totalprice", "decimal"), ("customer_number", "integer"),
+)

@@ -11,6 +11,7 @@ from souk import config
 from souk.functions import exprs as X
 from souk.functions import names as N
 from souk.operators import impute as I
+from souk.operators.selection import ranked
 
 BasketItems = Sequence[tuple[str, Sequence[float], str]]
 
@@ -68,7 +69,13 @@ def meb(item_prices: DataFrame, months: Sequence[str],
         baseline: DataFrame | None = None) -> DataFrame:
     """M8: settlement medians -> gap filling -> basket -> rounded; baseline rows
     (a precomputed basket table for an earlier round) are stacked on top."""
-    med = I.settlement_medians(item_prices, months)
+    return meb_from_medians(I.settlement_medians(item_prices, months), items, food_order, baseline)
+
+
+def meb_from_medians(med: DataFrame, items: BasketItems = config.BASKET_ITEMS,
+                     food_order: Sequence[str] = config.FOOD_TOTAL_ORDER,
+                     baseline: DataFrame | None = None) -> DataFrame:
+    """M8 from medians that are there already (one run serves several rounds)."""
     ms = [c for c in med.columns if c.startswith("price_")]
     filled = I.impute_hierarchical(med, ms)
     b = basket_lines(filled, items, food_order)
@@ -96,6 +103,14 @@ def meb_rollup(meb_df: DataFrame, level: str) -> DataFrame:
     return out.withColumnsRenamed({"meb_food": prefix + "meb_food", "meb_full": prefix + "meb_full"})
 
 
+def rank_all(meb_df: DataFrame, month: str, area: str = "settlement", value: str = "meb_full") -> DataFrame:
+    """Every area of one round with its rank, 1 = most expensive; ties by area
+    name, NULL cost last.  Ranked by ranges (``selection.ranked``), not in one task."""
+    cur = meb_df.where(F.col("month") == month).select(area, value)
+    return ranked(cur, [F.col(value).desc_nulls_last(), F.col(area).asc_nulls_last()]) \
+        .select(area, value, F.col("rank").cast("int").alias("rank"))
+
+
 def rank_areas(meb_df: DataFrame, month: str, k: int = 3, area: str = "settlement",
                value: str = "meb_full") -> DataFrame:
     """The k most and k least expensive areas of one round, with their

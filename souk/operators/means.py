@@ -75,12 +75,16 @@ def area_means(item_prices: DataFrame, level: str,
 
 
 def all_level_means(item_prices: DataFrame, measures: Sequence[str] | None = None) -> DataFrame:
-    """All five levels in one pass (A6), tagged by ``level``.
+    """All five levels in one pass (A6), tagged by ``level``."""
+    return levels_of_cells(cell_sums(item_prices, measures))
+
+
+def levels_of_cells(cells: DataFrame) -> DataFrame:
+    """All five levels from the finest cells' sums and counts.
 
     ``grouping()`` tells a rolled-up key from a genuinely NULL one.
     """
-    ms = list(measures or measure_columns(item_prices))
-    cells = cell_sums(item_prices, ms)
+    ms = [c.removeprefix("__s_") for c in cells.columns if c.startswith("__s_")]
     sets = [[F.col(k) for k in LEVELS[lv]] for lv in LEVELS]
     g = {k: F.grouping(k) for k in ["regions", "district", "settlement", "market_final"]}
     level = (F.when(g["regions"] == 1,

@@ -19,6 +19,7 @@ from souk.functions import exprs as X
 from souk.operators import means as M
 from souk.operators import reshape as R
 from souk.operators import survey as S
+from souk.plans import roundtrip as RT
 from souk.plans.market import MarketRound
 
 _ROUNDS: dict[tuple[str, str], MarketRound] = {}
@@ -139,6 +140,7 @@ QUERIES: dict[str, Callable[[MarketRound], DataFrame]] = {
     "pct_change_meb_national": lambda m: m.change_meb_national,
     "pct_change_merged": lambda m: m.change_settlement_merged,
     "rank_top_bottom": lambda m: m.rank,
+    "rank_all": lambda m: m.rank_all,
     "share_select_one": lambda m: m.shares_one,
     "share_select_multiple": lambda m: m.shares_multiple,
     "numeric_mean_ci": lambda m: m.numeric,
@@ -152,6 +154,18 @@ QUERIES: dict[str, Callable[[MarketRound], DataFrame]] = {
     "area_by_var_wide": lambda m: R.area_by_var(m.stats, config.BIND_AREA_KEYS),
     "report_long": lambda m: m.report_long,
     "report_by_settlement": lambda m: m.report_by_settlement,
+    "report_row": lambda m: m.report_row,
+    "analyse_plan": lambda m: m.planned,
+    "label_by_list": lambda m: m.labelled_by_list,
+    "read_rounds_csv": RT.rounds_read,
+    "read_rejects": RT.rounds_rejected,
+    "read_drift": RT.rounds_drift,
+    "means_from_files": RT.rounds_means,
+    "read_cleaning_log_csv": RT.log_read,
+    "basket_from_file": RT.basket_from_file,
+    "means_incremental": RT.means_incremental,
+    "export_rows": RT.export_rows,
+    "export_summary": RT.export_summary,
     "flag_substring": q_flag_substring,
 }
 

@@ -17,15 +17,19 @@ from pyspark.sql import functions as F
 
 from souk import config
 from souk.functions import exprs as X
+from souk.operators import analysis as A
 from souk.operators import basket as B
 from souk.operators import change as C
 from souk.operators import cleaning as CL
 from souk.operators import dims as D
 from souk.operators import impute as I
 from souk.operators import means as M
+from souk.operators import report as RP
 from souk.operators import reshape as R
 from souk.operators import rounds as RD
 from souk.operators import survey as S
+from souk.plans import template
+from souk.sources import export as EX
 from souk.sources import files as FS
 from souk.sources import tpch
 from souk.sources.store import materialize
@@ -65,6 +69,14 @@ class MarketRound:
     def districts(self) -> DataFrame:
         return D.prepare_districts(tpch.district_dimension(self.spark, self.sf_dir))
 
+    @cached_property
+    def settlement_lookup(self) -> DataFrame:
+        return materialize(D.settlement_lookup(self.settlements), "settlement_lookup")
+
+    @cached_property
+    def district_lookup(self) -> DataFrame:
+        return materialize(D.district_lookup(self.districts), "district_lookup")
+
     @cached_property
     def obs(self) -> DataFrame:
         """M1.  The two lookups are one row per settlement / district; they
@@ -72,9 +84,7 @@ class MarketRound:
         them (under ``spark.sql.autoBroadcastJoinThreshold``) instead of
         shuffling the observations; above it, the join falls back to a
         sort-merge join on its own."""
-        s = materialize(D.settlement_lookup(self.settlements), "settlement_lookup")
-        d = materialize(D.district_lookup(self.districts), "district_lookup")
-        return RD.stack_and_enrich(self.rounds, s, d, west_nile=config.BIND_WEST_NILE)
+        return RD.stack_and_enrich(self.rounds, self.settlement_lookup, self.district_lookup, west_nile=config.BIND_WEST_NILE)
 
     @cached_property
     def item_prices(self) -> DataFrame:
@@ -103,9 +113,16 @@ class MarketRound:
         return M.assessment_counts(self.item_prices, self.this_round)
 
     # ------------------------------------------------------------ basket
+    @cached_property
+    def all_medians(self) -> DataFrame:
+        """One run over all rounds, written once; the basket, the baseline and the
+        medians themselves are filters on the month."""
+        return materialize(I.settlement_medians(self.item_prices, [self.this_round, self.last_round, self.baseline_round]),
+                           "medians")
+
     @cached_property
     def medians(self) -> DataFrame:
-        return I.settlement_medians(self.item_prices, [self.this_round, self.last_round])
+        return self.all_medians.where(F.col("month").isin(self.this_round, self.last_round))
 
     @cached_property
     def imputed(self) -> DataFrame:
@@ -115,14 +132,13 @@ class MarketRound:
     def meb_baseline(self) -> DataFrame:
         """The baseline round's basket table (the original workflow reads a precomputed
         one; here it is computed the same way from the baseline round)."""
-        return B.meb(self.item_prices, [self.baseline_round], config.BIND_BASKET_ITEMS,
-                     config.BIND_FOOD_TOTAL_ORDER)
+        return B.meb_from_medians(self.all_medians.where(F.col("month") == self.baseline_round),
+                                  config.BIND_BASKET_ITEMS, config.BIND_FOOD_TOTAL_ORDER)
 
     @cached_property
     def meb(self) -> DataFrame:
-        return materialize(B.meb(self.item_prices, [self.this_round, self.last_round],
-                                 config.BIND_BASKET_ITEMS, config.BIND_FOOD_TOTAL_ORDER,
-                                 baseline=self.meb_baseline), "meb")
+        return materialize(B.meb_from_medians(self.medians, config.BIND_BASKET_ITEMS, config.BIND_FOOD_TOTAL_ORDER,
+                                              baseline=self.meb_baseline), "meb")
 
     @cached_property
     def meb_regional(self) -> DataFrame:
@@ -132,6 +148,10 @@ class MarketRound:
     def meb_national(self) -> DataFrame:
         return B.meb_rollup(self.meb, "national")
 
+    @cached_property
+    def rank_all(self) -> DataFrame:
+        return B.rank_all(self.meb, self.this_round)
+
     @cached_property
     def rank(self) -> DataFrame:
         return B.rank_areas(self.meb, self.this_round, k=3)
@@ -208,6 +228,23 @@ class MarketRound:
     def categorical(self) -> DataFrame:
         return self.stats.where(~F.col("dependent_var").isin(list(config.BIND_NUMERIC)))
 
+    @cached_property
+    def plan(self) -> DataFrame:
+        """The analysis plan's rows, their kinds from the questionnaire."""
+        return A.plan_rows(tpch.analysis_plan(self.spark), tpch.questions(self.spark))
+
+    @cached_property
+    def planned(self) -> DataFrame:
+        """M12 from the plan, over both respondent tables."""
+        return materialize(A.analyse_by_plan(self.survey_orders, self.plan)
+                           .unionByName(A.analyse_by_plan(self.survey_events, self.plan)), "planned")
+
+    @cached_property
+    def labelled_by_list(self) -> DataFrame:
+        """Answers and repeat values by each question's own list."""
+        return A.label_by_list(self.planned, tpch.questions(self.spark), tpch.choice_lists(self.spark, self.sf_dir), True,
+                               (("dependent_var", "dependent_var_value"), ("independent_var", "independent_var_value")))
+
     @cached_property
     def tests(self) -> DataFrame:
         """Hypothesis-test results per (question, grouping).  No test engine
@@ -345,7 +382,8 @@ class MarketRound:
 
     @cached_property
     def report_row(self) -> DataFrame:
-        return R.pivot_report(self.report_long)
+        """The report in the template's columns, whatever the data holds."""
+        return RP.report_from_template(self.report_long, template.cells())
 
     # ------------------------------------------------------------ export
     def price_tables(self) -> dict[str, DataFrame]:
@@ -363,14 +401,11 @@ class MarketRound:
         return dict(zip(config.BASKET_TABLE_NAMES, tables))
 
     def export(self, base: str, run_date: str) -> dict[str, str]:
-        """Write every output of a round (S6-S8): the two table sets as one
-        directory per table, the analysis table and the one-row report as CSV
-        with ``n/a`` for missing values."""
-        paths = {}
-        paths.update(FS.write_tables(self.price_tables(), f"{base}/means_and_change", run_date))
-        paths.update(FS.write_tables(self.basket_tables(), f"{base}/meb_and_change", run_date))
-        FS.write_summary(self.stats, f"{base}/analysis_{run_date}")
-        paths["analysis"] = f"{base}/analysis_{run_date}"
-        FS.write_csv(self.report_row, f"{base}/report_{run_date}")
-        paths["report"] = f"{base}/report_{run_date}"
-        return paths
+        """Every output of a round (S6-S9) as one export that is whole or not there:
+        the two table sets and the clean data as Parquet, the analysis table and the
+        one-row report as CSV with ``n/a`` for missing values.  Returns the paths."""
+        tables = {**self.price_tables(), **self.basket_tables(), "clean data": self.cleaned.clean,
+                  "analysis": self.stats, "report": self.report_row}
+        writers = {"analysis": ("csv", FS.write_summary), "report": ("csv", FS.write_csv), "clean data": ("parquet", FS.write_clean)}
+        done = EX.publish(self.spark, f"{base.rstrip('/')}/{run_date}", tables, writers)
+        return {name: t["path"] for name, t in done["tables"].items()}

@@ -9,6 +9,9 @@ rounded to 6 decimals, like ``catalog.compare_form``.
 from __future__ import annotations
 
 from souk import config
+from souk.operators.report import TEXT
+from souk.plans import roundtrip as RT
+from souk.plans import template
 
 ITEMS = list(config.BIND_ITEMS)
 PRICES = [f"price_{i}" for i in ITEMS]
@@ -335,7 +338,8 @@ SELECT settlement, meb_full, rank FROM (
 
 # ----------------------------------------------------------------- survey
 SO = f"""SELECT CAST(o.o_orderkey AS VARCHAR) AS uuid, 'uganda' AS country, {region_rule('r.r_name')} AS regions,
-  o.o_orderpriority, o.o_orderstatus, CAST(n.n_regionkey AS VARCHAR) AS home_region, o.o_totalprice,
+  o.o_orderpriority, o.o_orderstatus, CAST(n.n_regionkey AS VARCHAR) AS home_region,
+  CAST(n.n_nationkey AS VARCHAR) AS home_nation, o.o_totalprice,
   CASE WHEN o.o_orderkey % 11 = 0 THEN c.c_name ELSE CAST(c.c_acctbal AS VARCHAR) END AS customer_number
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey"""
@@ -486,6 +490,47 @@ STAT_FORMAT = f"""SELECT dependent_var, dependent_var_value, independent_var, in
     AS formatted
 FROM stats"""
 
+
+
+def plan_sql() -> str:
+    """The statistics of every analysable row of the plan, each from its respondent table."""
+    so = {"o_orderpriority", "o_orderstatus", "home_region", "home_nation", "o_totalprice", "customer_number", "country", "regions"}
+    se = {"event_types", "mobile_accepted", "country", "regions"}
+    kinds = {name: type_.split(" ")[0] for name, type_ in config.BIND_QUESTIONS}
+    parts = []
+    for question, _, by, repeat in config.BIND_PLAN:
+        for src, columns in (("so", so), ("se", se)):
+            if not {question, by, *([repeat] if repeat else [])} <= columns:
+                continue
+            rep = f"CAST({repeat} AS VARCHAR)" if repeat else "CAST(NULL AS VARCHAR)"
+            head = (f"{lit(question)} AS dependent_var, {lit(by)} AS independent_var, CAST({by} AS VARCHAR) AS independent_var_value, "
+                    f"{lit(repeat) if repeat else 'CAST(NULL AS VARCHAR)'} AS repeat_var, {rep} AS repeat_var_value")
+            seen = f"{question} IS NOT NULL" + (f" AND {repeat} IS NOT NULL" if repeat else "")
+            if kinds[question] in ("decimal", "integer"):
+                x = f"TRY_CAST({question} AS DOUBLE)"
+                parts.append(f"""SELECT dependent_var, CAST(NULL AS VARCHAR) AS dependent_var_value, independent_var, independent_var_value,
+  {clean_mean('x')} AS numbers, stddev_samp(x) / sqrt(count(x)) AS se, repeat_var, repeat_var_value
+FROM (SELECT {head}, {x} AS x FROM {src} WHERE {seen} AND {x} IS NOT NULL) GROUP BY ALL""")
+                continue
+            option = f"unnest(list_distinct(string_split({question}, ' ')))" if kinds[question] == "select_multiple" else question
+            keys = "dependent_var, independent_var, independent_var_value, repeat_var, repeat_var_value"
+            parts.append(f"""SELECT dependent_var, option AS dependent_var_value, independent_var, independent_var_value,
+  n / base AS numbers, sqrt((n / base) * (1 - n / base) / base) AS se, repeat_var, repeat_var_value
+FROM (SELECT {keys}, option, count(*) AS n, any_value(base) AS base FROM (
+    SELECT *, {option} AS option FROM (SELECT {head}, {question}, count(*) OVER (PARTITION BY {by}, {rep}) AS base
+      FROM {src} WHERE {seen}))
+  WHERE option <> '' GROUP BY ALL)""")
+    return ("SELECT *, numbers - 1.96 * se AS min, numbers + 1.96 * se AS max FROM (" +
+            " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts) + ")")
+
+
+LISTS = """SELECT 'home_region' AS question, CAST(r_regionkey AS VARCHAR) AS code, r_name AS label FROM region
+UNION ALL SELECT 'home_nation', CAST(n_nationkey AS VARCHAR), n_name FROM nation"""
+LABELLED_BY_LIST = """SELECT p.* REPLACE (coalesce(a.label, p.dependent_var_value) AS dependent_var_value,
+  coalesce(b.label, p.independent_var_value) AS independent_var_value)
+FROM planned p LEFT JOIN lists a ON p.dependent_var = a.question AND p.dependent_var_value = a.code
+LEFT JOIN lists b ON p.independent_var = b.question AND p.independent_var_value = b.code"""
+
 LABELLED = f"""SELECT s.dependent_var, l.label AS dependent_var_value, s.independent_var, s.independent_var_value,
   s.numbers, s.se, s.min, s.max, s.repeat_var, s.repeat_var_value
 FROM (SELECT * FROM shares_one WHERE dependent_var = 'home_region') s
@@ -589,6 +634,37 @@ UNION ALL
 SELECT regions, count(*), CAST(sum(n) AS BIGINT) FROM cells GROUP BY regions"""
 CELLS = f"SELECT regions, market_final, count(*) AS n FROM ip WHERE month = {lit(config.THIS_ROUND)} GROUP BY 1, 2"
 
+def report_row_sql() -> str:
+    """The template's cells out of the long report ``rl``; every cell is named by its key."""
+    num = ("CASE WHEN isnan(num) THEN 'NaN' WHEN isinf(num) THEN CASE WHEN num > 0 THEN 'Inf' ELSE '-Inf' END "
+           "ELSE CAST(CAST(round_even(num, 0) AS HUGEINT) AS VARCHAR) END")
+    texts = ", ".join(lit(key) for _, kind, key in template.cells() if kind == TEXT)
+    keys = ", ".join(lit(key) for _, _, key in template.cells())
+    return (f"SELECT * FROM (PIVOT (SELECT key, CASE WHEN key IN ({texts}) THEN str ELSE {num} END AS v "
+            f"FROM (SELECT key, max(num) AS num, max(str) AS str FROM rl GROUP BY key)) ON key IN ({keys}) USING first(v))")
+
+
+EXPORTED = list(zip(config.PRICE_TABLE_NAMES, [
+    *(f"(SELECT * FROM all_means WHERE level = '{lv}')" for lv in ("market", "settlement", "district", "region", "national")),
+    "ch_settlement_merged", "ch_region", "ch_national", "rank_tb"])) + list(zip(config.BASKET_TABLE_NAMES, [
+        "meb", "meb_regional", "meb_national", "ch_meb_settlement", "ch_meb_region", "ch_meb_national"])) + [
+    ("clean data", "cdata"), ("analysis", "stats"), ("report", "(SELECT 1)")]
+
+# ----------------------------------------------------------------- files
+_KEY = "CAST(split_part(uuid, '-', 1) AS BIGINT)"
+_ROUND = "CASE month WHEN 10 THEN 'this' WHEN 9 THEN 'last' ELSE 'first' END"
+_SPOILED = f"({_KEY} % {RT.CUT} = 0 OR {_KEY} % {RT.WORDED} = 0 OR {_KEY} % {RT.NAMELESS} = 0)"
+FILE_ROWS = f"""SELECT uuid, month, day, settlement, market, CASE WHEN month <> 3 THEN market_other END AS market_other,
+  {", ".join(PRICES)}, weight_economy, weight_large, CASE WHEN month = 10 THEN 'e' || CAST(day AS VARCHAR) END AS enumerator
+FROM raw WHERE NOT {_SPOILED}"""
+FILE_REJECTS = f"""SELECT round, reason, count(*) AS n FROM (
+  SELECT {_ROUND} AS round, CASE WHEN {_KEY} % {RT.CUT} = 0 THEN 'malformed' WHEN {_KEY} % {RT.NAMELESS} = 0 THEN 'missing uuid'
+    ELSE 'no integer month' END AS reason FROM raw WHERE {_SPOILED}) GROUP BY ALL"""
+FILE_DRIFT = """SELECT DISTINCT round, "column", issue FROM (SELECT CASE month WHEN 10 THEN 'this' WHEN 9 THEN 'last' ELSE 'first' END AS round FROM raw)
+JOIN (VALUES ('this', 'enumerator', 'unexpected'), ('last', 'weight_economy', 'moved'), ('last', 'uuid', 'moved'),
+  ('first', 'market_other', 'missing')) AS d(round, "column", issue) USING (round)"""
+
+
 # ----------------------------------------------------------------- queries
 def _sql(ctes: list[tuple[str, str]], body: str) -> str:
     return with_(ctes, body)
@@ -645,6 +721,9 @@ def build() -> dict[str, str]:
                                                 "ch_settlement_merged", CH_ITEM_COLS + CH_SMEB_COLS))
     out["rank_top_bottom"] = _sql(mb + [("rank_tb", RANK)], "SELECT settlement, " + r6("meb_full") +
                                   " AS meb_full, rank FROM rank_tb")
+    out["rank_all"] = _sql(mb, f"""SELECT settlement, {r6("meb_full")} AS meb_full, CAST(row_number() OVER (
+      ORDER BY meb_full DESC NULLS LAST, settlement ASC NULLS LAST) AS INTEGER) AS rank
+    FROM meb WHERE month = {lit(config.THIS_ROUND)}""")
     sv = SURVEY
     out["share_select_one"] = _sql(sv, rounded(STAT_COLS, "shares_one", STAT_DBL))
     out["share_select_multiple"] = _sql(sv, rounded(STAT_COLS, "shares_multiple", STAT_DBL))
@@ -678,6 +757,24 @@ def build() -> dict[str, str]:
     rep = ch + cnt[len(B):] + [("rank_tb", RANK)] + sv + TOPK + \
         [("rl", " UNION ALL ".join([*REPORT_PIECES, TOP_LONG, AREA_SCALARS]))]
     out["report_long"] = _sql(rep, f"SELECT key, {r6('num')} AS num, str FROM rl")
+    out["report_row"] = _sql(rep, report_row_sql())
+    planned = sv + [("planned", plan_sql())]
+    out["analyse_plan"] = _sql(planned, rounded(STAT_COLS, "planned", STAT_DBL))
+    out["label_by_list"] = _sql(planned + [("lists", LISTS), ("lbl", LABELLED_BY_LIST)], rounded(STAT_COLS, "lbl", STAT_DBL))
+    raw = [("raw", RAW)]
+    file_cols = ["uuid", "month", "day", "settlement", "market", "market_other", *PRICES, "weight_economy", "weight_large", "enumerator"]
+    out["read_rounds_csv"] = _sql(raw + [("f", FILE_ROWS)], rounded(file_cols, "f", PRICES + ["weight_economy", "weight_large"]))
+    out["read_rejects"] = _sql(raw, FILE_REJECTS)
+    out["read_drift"] = _sql(raw, FILE_DRIFT)
+    filed = [(n, FILE_ROWS if n == "stacked" else sql) for n, sql in B]
+    out["means_from_files"] = _sql(filed + [("am", ALL_LEVELS)], rounded(["level"] + CELL_KEYS + PRICES, "am", PRICES))
+    out["read_cleaning_log_csv"] = _sql(CLEAN_BASE[:2], "SELECT seq, uuid, variable, new_value, change FROM cleanlog")
+    out["basket_from_file"] = out["basket_settlement"]
+    out["means_incremental"] = out["mean_all_levels"]
+    out["export_rows"] = _sql(rep + CLEAN_BASE[:1], "\nUNION ALL ".join(
+        f"SELECT {lit(name)} AS \"table\", count(*) AS n_rows FROM {src}" for name, src in EXPORTED))
+    out["export_summary"] = _sql(sv, f"SELECT dependent_var, dependent_var_value, independent_var, independent_var_value, "
+                                 f"{r6('numbers')} AS numbers, repeat_var, repeat_var_value FROM stats")
     by_sett = CH_ITEM_COLS + CH_SMEB_COLS
     out["report_by_settlement"] = _sql(
         ch + [("rs", f"SELECT a.settlement, {', '.join('a.' + q(c) for c in PRICES)}, "

@@ -71,7 +71,10 @@ def read_round(
 
 
 def read_baseline_meb(spark: SparkSession, path: str) -> DataFrame:
-    return read_any(spark, path)
+    """The precomputed basket of an earlier round; its lines and totals are numbers (S3)."""
+    df = read_any(spark, path)
+    return df.select(*[X.to_number(c).alias(c) if c.startswith("meb_") else
+                       X.to_number(c).cast("int").alias(c) if c == "collection_order" else F.col(c) for c in df.columns])
 
 
 def read_dimension(spark: SparkSession, path: str, **kw) -> DataFrame:

@@ -30,13 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # nation and region have a fixed row count (25 and 5) at every scale
-    # factor, so broadcasting them is bounded.
-    return F.broadcast(table(spark, sf_dir, "nation"))
+    return table(spark, sf_dir, "nation")
 
 
 def _region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return F.broadcast(table(spark, sf_dir, "region"))
+    return table(spark, sf_dir, "region")
 
 
 def settlement_key(nation_name: Column, segment: Column) -> Column:
@@ -154,6 +152,7 @@ def survey_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         region_rule(F.col("r_name")).alias("regions"),
         "o_orderpriority", "o_orderstatus",
         F.col("n_regionkey").cast("string").alias("home_region"),
+        F.col("n_nationkey").cast("string").alias("home_nation"),
         "o_totalprice",
         F.when(F.col("o_orderkey") % 11 == 0, F.col("c_name"))
          .otherwise(F.col("c_acctbal").cast("string")).alias("customer_number"),
@@ -187,6 +186,26 @@ def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("n_name").alias("label"))
 
 
+def analysis_plan(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(config.BIND_PLAN, "dependent_variable string, dependent_variable_type string, "
+                                                   "independent_variable string, repeat_for_variable string")
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(config.BIND_QUESTIONS, "name string, type string")
+
+
+def choice_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists that share the codes 0 to 4: regions and nations by their keys."""
+    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+
+    def listed(df: DataFrame, name: str, key: str, label: str) -> DataFrame:
+        return df.select(F.col(key).cast("long").alias("seq"), F.lit(name).alias("list_name"),
+                         F.col(key).cast("string").alias("name"), F.col(label).alias("label"))
+
+    return listed(r, "region_names", "r_regionkey", "r_name").unionByName(listed(n, "nation_names", "n_nationkey", "n_name"))
+
+
 # --------------------------------------------------------------------------
 # Cleaning
 # --------------------------------------------------------------------------

@@ -46,7 +46,7 @@ def test_export_writes_every_table(spark, tmp_path):
     from souk.plans.catalog import market_round
     m = market_round(spark, SF_SMALL)
     paths = m.export(str(tmp_path), "2020-10-30")
-    assert len(paths) == 9 + 6 + 2
+    assert len(paths) == 9 + 6 + 3
     report = spark.read.option("header", True).csv(paths["report"])
     assert report.count() == 1 and len(report.columns) > 100
 
