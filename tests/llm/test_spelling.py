@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from corpus import EDGE_ROWS, docs_frame, edge_docs, no_docs, small, small_rows  # noqa: F401
 
@@ -32,7 +33,8 @@ def one_edit(a, b):
     if len(a) == len(b):
         return sum(x != y for x, y in zip(a, b)) == 1
     a, b = sorted((a, b), key=len)
-    return any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+    i = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
+    return b[i + 1:] == a[i:]
 
 
 def brute_variants(counts):
@@ -58,6 +60,16 @@ def brute_variants(counts):
     return sorted(out, key=str)
 
 
+def brute_variants_by_pairs(counts):
+    out = []
+    for w, n in counts.items():
+        near = [x for x in counts if one_edit(w, x)]
+        best = min(near, key=lambda x: (-counts[x], x), default=None)
+        form = best if best is not None and counts[best] >= 10 * n else None
+        out.append((w, form, form or w, n, len(near), counts[form] if form else None))  # no chains in the cases that use it
+    return sorted(out, key=str)
+
+
 def got(df):
     assert df.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     return sorted(map(tuple, df.collect()), key=str)
@@ -81,7 +93,7 @@ def random_words(seed, number, letters, longest):
     return out
 
 
-@pytest.mark.parametrize("letters,longest,block", [("ab", 11, 20_000), ("ab", 11, 40), ("abcé\U0001f600", 9, 15), ("abcdefgh", 20, 5)])
+@pytest.mark.parametrize("letters,longest,block", [("ab", 11, 200_000), ("ab", 11, 300), ("abcé\U0001f600", 9, 120), ("abcdefgh", 20, 50)])
 def test_random_words(spark, letters, longest, block):
     counts = random_words(1, 900, letters, longest)
     assert got(S.variants(words_frame(spark, counts), S.Params(block=block))) == brute_variants(counts)
@@ -91,7 +103,13 @@ def test_one_hot_prefix(spark):
     """All words share their first half: the list is cut again, the result stays whole."""
     rng = random.Random(2)
     counts = {"prefixes" + "".join(rng.choice("abc") for _ in range(8)): 2 + i % 50 for i in range(1500)}
-    assert got(S.variants(words_frame(spark, counts), S.Params(block=100))) == brute_variants(counts)
+    assert got(S.variants(words_frame(spark, counts), S.Params(block=1000))) == brute_variants(counts)
+
+
+def test_very_long_words(spark):
+    base = "".join(random.Random(8).choice("abcde") for _ in range(30_000))
+    counts = {base: 500, base[:15_000] + base[15_001:]: 7, base + "a": 3, "b" + base[1:] + "c": 2, "shortword": 9, "shortwort": 2}
+    assert got(S.variants(words_frame(spark, counts))) == brute_variants_by_pairs(counts)
 
 
 def test_chain_of_forms(spark):
@@ -103,10 +121,21 @@ def test_chain_of_forms(spark):
 
 def test_scan_finds_what_brute_force_finds():
     rng = random.Random(4)
-    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 8))) for _ in range(150)})
-    entries = S.SortedList(words)
-    for q in words + ["", "abababababab"]:
-        assert entries.one_edit(q) == [i for i, w in enumerate(words) if one_edit(q, w)]
+    lists = [sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 8))) for _ in range(n)}) for n in (150, 1, 40, 2)]
+    lists.append(sorted({"same" + "".join(rng.choice("abc\U0001f600") for _ in range(rng.randrange(0, 5))) for _ in range(80)}))
+    words = [w for own in lists for w in own]
+    marks = np.repeat(np.arange(len(lists)), [len(own) for own in lists])
+    depth = np.where(marks == 4, 4, 0)
+    entries = S.SortedLists(words, marks)
+    got = set(zip(*(x.tolist() for x in entries.one_edit(np.arange(len(words)), depth))))
+    want = {(i, j) for i, q in enumerate(words) for j, w in enumerate(words) if marks[i] == marks[j] and one_edit(q, w)}
+    assert got == want
+    a, b = np.array(sorted(want)).T
+    for back in (False, True):
+        ends = entries.common_ends(a, b, np.full(len(a), back))
+        for i, j, k in zip(a, b, ends):
+            x, y = (words[i][::-1], words[j][::-1]) if back else (words[i], words[j])
+            assert x[:k] == y[:k] and x[k:k + 1] != y[k:k + 1] or (k == min(len(x), len(y)) and x[:k] == y[:k])
 
 
 def test_documents(spark, small, small_rows):
