@@ -48,13 +48,17 @@ class Params:
     #: Ranked words, and ranked phrases of a length, that travel to the tasks at most.
     known: int = 1_000_000
     #: Ids in a range, and the most frequent ids whose tiles are dense tables.
-    tile: int = 1024
-    dense: int = 2048
-    #: Counters and bytes of text held at a time.
-    held: int = 2_000_000
-    chunk: int = 4 << 20
+    tile: int = 512
+    dense: int = 1024
+    #: Addresses, texts and bytes of text that a task holds at a time, over all languages.
+    held: int = 1_500_000
+    texts: int = 400_000
+    chunk: int = 2 << 20
 
 
+#: Rows sent on at a time.
+BATCH = 65_536
+
 #: Ends of a piece become full stops, which no word can hold.
 STOPS = bytes(46 if chr(i) in ".,;:!?\x0a\x0b\x0c\x0d" else i for i in range(256))
 
@@ -97,7 +101,7 @@ def word_counts(docs: DataFrame, p: Params) -> DataFrame:
 
         for lang, words in chunks(batches, p):
             counts[lang].update(words)
-            if sum(map(len, counts.values())) >= p.held:
+            if sum(map(len, counts.values())) >= p.texts:
                 yield from out()
         yield from out()
 
@@ -126,7 +130,7 @@ class Tiles:
         code, n = np.unique(a[~frequent].astype(np.int64) * self.words + b[~frequent], return_counts=True)
         self.codes.append(code)
         self.counts.append(n)
-        if sum(map(len, self.codes)) > 2 * self.p.held:
+        if sum(map(len, self.codes[1:])) > self.p.held // 4:
             self._merge()
 
     def _merge(self) -> None:
@@ -137,8 +141,8 @@ class Tiles:
             starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.empty(0, np.int64)
             self.codes, self.counts = [code[starts]], [np.add.reduceat(n, starts) if len(starts) else n]
 
-    def full(self) -> bool:
-        return sum(map(len, self.codes)) > self.p.held
+    def __len__(self) -> int:
+        return sum(map(len, self.codes))
 
     def take(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(addresses a * words + b, counts) of everything counted so far."""
@@ -217,15 +221,16 @@ def phrase_counts(docs: DataFrame, known: Known, length: int, p: Params) -> Data
         tiles: dict[str, Tiles] = {}
         texts: dict[str, Counter] = defaultdict(Counter)
 
-        def rows(lang: str, codes, phrases, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), codes, phrases, pa.array(n, pa.int64())],
-                                              ["lang", "code", "phrase", "n"])
+        def rows(lang: str, codes, phrases, n) -> Iterator[pa.RecordBatch]:
+            whole = pa.RecordBatch.from_arrays([pa.repeat(lang, len(n)), codes, phrases, pa.array(n, pa.int64())],
+                                               ["lang", "code", "phrase", "n"])
+            yield from (whole.slice(i, BATCH) for i in range(0, len(n), BATCH))
 
         def out(lang: str) -> Iterator[pa.RecordBatch]:
             for code, n in tiles[lang].take():
-                yield rows(lang, pa.array(code, pa.int64()), pa.nulls(len(code), pa.string()), n)
+                yield from rows(lang, pa.array(code, pa.int64()), pa.nulls(len(code), pa.string()), n)
             if found := texts.pop(lang, None):
-                yield rows(lang, pa.nulls(len(found), pa.int64()), pa.array(list(found), pa.binary()).cast(pa.string()), list(found.values()))
+                yield from rows(lang, pa.nulls(len(found), pa.int64()), pa.array(list(found), pa.binary()).cast(pa.string()), list(found.values()))
 
         for lang, words in chunks(batches, p):
             if lang not in ids:
@@ -235,8 +240,9 @@ def phrase_counts(docs: DataFrame, known: Known, length: int, p: Params) -> Data
             a, b, raw = places(own, lang, np.fromiter((get(w, none) for w in words), np.int32, len(words)), length)
             tiles[lang].add(a, b)
             texts[lang].update(b" ".join(words[i:i + length]) for i in raw.tolist())
-            if tiles[lang].full() or len(texts[lang]) > p.held:
-                yield from out(lang)
+            if sum(map(len, tiles.values())) > p.held or sum(map(len, texts.values())) > p.texts:
+                for each in tiles:
+                    yield from out(each)
         for lang in tiles:
             yield from out(lang)
 

@@ -69,7 +69,8 @@ def frame(spark, rows):
 
 
 #: Whole dictionaries; none at all; only a few words; many words but few phrases; small tiles and buffers.
-BOUNDS = [{}, {"known": 0}, {"known": 25}, {"known": 90}, {"tile": 4, "dense": 8, "held": 50, "chunk": 500}]
+BOUNDS = [{}, {"known": 0}, {"known": 25}, {"known": 90}, {"tile": 4, "dense": 8, "held": 50, "texts": 20, "chunk": 500},
+          {"known": 25, "held": 50, "texts": 20, "chunk": 300}]
 
 
 @pytest.mark.parametrize("bounds", BOUNDS)
