@@ -212,7 +212,7 @@ def test_pipeline_against_its_parts(spark, small):
     model = toxicity.fit(left, spark.read.parquet(f"{SF}/labels.parquet"))
     scorer = toxicity.Scorer(model.weights, p)
     rows = [r for r in rows if model.logistic.probability(np.array([scorer.features(r[1])[0]]))[0] < 0.5]
-    rows = [r for r, (d, _, c) in zip(rows, brute_components(rows), strict=True) if d == c]
+    rows = [r for r, (d, _, c) in zip(rows, brute_components(rows, 80), strict=True) if d == c]  # the stage's threshold
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bad = {d for d, _, _ in brute_items(rows, items)}
     rows = [r for r in rows if r[0] not in bad]
@@ -249,7 +249,7 @@ def test_history_tells_tail_words_apart(spark):
         pair = [("left", "zebra"), ("right", "quartz")][i % 2]
         lines.append(" ".join([*(rng.choice(fill) for _ in range(45)), *pair, *(rng.choice(fill) for _ in range(5)), f"once{i // 2}"]))
     train = docs_frame(spark, list(enumerate(lines)))
-    p = language_model.Params(classes=4, class_words=8, class_rows=256, word_rows=1024, rounds=2, batch=256, head_words=200)
+    p = language_model.Params(classes=4, class_words=8, class_rows=256, word_rows=1024, rounds=2, batch=256, head_words=200, levels=4)
     probes = [(1, "left zebra"), (2, "left quartz"), (3, "right quartz"), (4, "right zebra")]
     # more frequent fillers fill the 31 head symbols, so both words are in the tail
     counts = language_model.count_words(train)
