@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import table
+from souk.llm.common import lower_ascii, table
 
 #: The base phrases and their labels.
 BASE_PHRASES = {
@@ -94,7 +94,7 @@ def scan(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score and spans (label, start, coverage of every verified span)."""
     spark = docs.sparkSession
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), NON_WORD), lambda w: w != "")
+    words = F.filter(F.split(lower_ascii(F.coalesce("text", F.lit(""))), NON_WORD), lambda w: w != "")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                        words.alias("words")).withColumn("n_words", F.size("words").cast("long"))
     pairs = F.when(F.col("n_words") >= 2, F.transform(
