@@ -1,10 +1,10 @@
 """Operator 9: language identification by compression.
 
 A text belongs to the language whose texts help most in compressing it.  For
-each language a zstandard raw-content dictionary is cut from a bounded sample
-of labelled documents; every whole text is then compressed once per language,
+each language a zstandard raw-content dictionary is made of a bounded sample of
+whole labelled documents; every whole text is then compressed once per language,
 in blocks, and the dictionary with the smallest total wins.  A narrow win is a
-rejection.
+rejection.  Texts of all lengths go by this one rule.
 
 Defined results: a null text, an empty one or one without any letter gives
 ``und``, score 0 and ``rejected``; with no labelled row at all every text gives
@@ -27,17 +27,14 @@ SCHEMA = "doc_id long, lang_pred string, score double, margin_bytes long, reject
 
 @dataclass(frozen=True)
 class Params:
-    #: Labelled documents per language that the dictionaries are cut from (the sample's bound).
-    sample_docs: int = 128
-    #: Characters taken from each sampled document.
-    snippet_chars: int = 384
+    #: The sample's bounds per language: labelled documents and their characters together, and the longest
+    #: document that may be in it.  Sampled documents are whole; longer ones are scored like all others.
+    sample_docs: int = 64
+    sample_chars: int = 256_000
+    longest: int = 32_000
     #: Bytes compressed at a time; a text's size is the sum over its blocks.
     block_bytes: int = 1024
-    #: Texts up to this size are also compressed with their words reversed and
-    #: sorted: three sizes give a few words a finer scale than one.
-    short_bytes: int = 512
-    level: int = 5
-    short_level: int = 12
+    level: int = 9
     #: Rejected if the runner-up needs less than so many bytes more, or so small a share more.
     min_margin_bytes: int = 1
     min_margin_share: float = 0.001
@@ -46,8 +43,8 @@ class Params:
 def fit(train: DataFrame, params: Params = Params()) -> dict[str, bytes]:
     """Dictionaries by language from ``train`` (text, lang).
 
-    The sample is at most ``sample_docs`` documents a language, chosen by text
-    hash; copies of a text count once.  Only the sample reaches the driver.
+    The sample is bounded by ``Params``; its documents are the first by text hash
+    that fit, and copies of a text count once.  Only the sample reaches the driver.
     """
     rows = train.where("lang is not null and text is not null").select("lang", "text")
     # distinct texts (within a few percent), as the coin below is thrown once per text and copies share it
@@ -58,17 +55,16 @@ def fit(train: DataFrame, params: Params = Params()) -> dict[str, bytes]:
     # a hash coin thins each language to a few times the sample before anything moves
     rates = F.create_map(*[F.lit(x) for k, n in counts.items()
                            for x in (k, min(1.0, 16.0 * params.sample_docs / n))])
-    start = 1 + F.pmod(F.xxhash64("text", F.lit(7)),
-                       F.greatest(F.length("text") - params.snippet_chars, F.lit(1)).cast("long")).cast("int")
-    thin = (rows.where(unit_hash(F.col("text")) < rates[F.col("lang")])
-            .select("lang", F.xxhash64("text").alias("h"),
-                    F.substring(F.col("text"), start, F.lit(params.snippet_chars)).alias("snippet"))
-            .groupBy("lang", "h").agg(F.min("snippet").alias("snippet")))
-    ranked = thin.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    parts: dict[str, list[str]] = {}
-    for r in ranked.where(F.col("k") <= params.sample_docs).orderBy("lang", "k").collect():
-        parts.setdefault(r["lang"], []).append(r["snippet"])
-    return {k: " ".join(v).lower().encode() for k, v in sorted(parts.items())}
+    size = F.length("text")
+    thin = (rows.where((size <= params.longest) & (unit_hash(F.col("text")) < rates[F.col("lang")]))
+            .groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")))
+    order = Window.partitionBy("lang").orderBy("h")
+    first = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= params.sample_docs)
+    upto = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts: dict[str, list[str]] = {k: [] for k in counts}
+    for r in first.withColumn("upto", upto).where(F.col("upto") <= params.sample_chars).orderBy("lang", "k").collect():
+        parts[r["lang"]].append(r["text"])
+    return {k: " ".join(v).lower().encode("utf-8", "surrogatepass") for k, v in sorted(parts.items())}
 
 
 def scorer(dictionaries: dict[str, bytes], params: Params) -> Callable[[str | None], tuple]:
@@ -77,30 +73,21 @@ def scorer(dictionaries: dict[str, bytes], params: Params) -> Callable[[str | No
 
     langs = sorted(dictionaries)
     makers = []
-    for level in (params.level, params.short_level):
-        row = []
-        for k in langs:
-            d = zstd.ZstdCompressionDict(dictionaries[k], dict_type=zstd.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            row.append(zstd.ZstdCompressor(level=level, dict_data=d, write_content_size=False,
-                                           write_checksum=False, write_dict_id=False).compress)
-        makers.append(row)
+    for k in langs:
+        d = zstd.ZstdCompressionDict(dictionaries[k], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=params.level)
+        makers.append(zstd.ZstdCompressor(level=params.level, dict_data=d, write_content_size=False,
+                                          write_checksum=False, write_dict_id=False).compress)
 
     def score(text: str | None) -> tuple:
         if not text or not langs or not any(map(str.isalpha, text)):
             return "und", 0.0, 0, True
-        lowered = text.lower()
-        data = lowered.encode("utf-8", "surrogatepass")
-        views = [data]
-        if len(data) <= params.short_bytes:
-            words = lowered.split()
-            views += [" ".join(w).encode("utf-8", "surrogatepass") for w in (words[::-1], sorted(words))]
+        data = text.lower().encode("utf-8", "surrogatepass")
         sizes = [0] * len(langs)
-        for view in views:
-            for at in range(0, len(view), params.block_bytes):
-                block = view[at:at + params.block_bytes]
-                for i, compress in enumerate(makers[len(block) <= params.short_bytes]):
-                    sizes[i] += len(compress(block))
+        for at in range(0, len(data), params.block_bytes):
+            block = data[at:at + params.block_bytes]
+            for i, compress in enumerate(makers):
+                sizes[i] += len(compress(block))
         order = sorted(range(len(langs)), key=lambda i: (sizes[i], i))
         best = sizes[order[0]]
         second = sizes[order[1]] if len(order) > 1 else 2 * best
