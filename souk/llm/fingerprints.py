@@ -7,9 +7,12 @@ equal signature places estimates the similarity of their phrase sets.
 
 ``fingerprints`` is the plain operator.  ``compare_with_next`` also holds every
 document against an edited text, whose tail comes from the next document in
-descending id order: documents are dealt into id ranges, each range also gets
-the first document of the range that follows, and a range is read in order as
-a stream, so every text is shuffled once and no task holds a whole range.
+descending id order: documents are dealt into ranges of (id, text hash), each
+range also gets the first document of the range that follows, and a range is
+read in order as a stream, so every text is shuffled once and no task holds a
+whole range.  The ranges are cut from the sorted keys, 16 bytes a row, at every
+``range_rows``-th one, so an id of many texts and the rows without an id are
+split like any others; only rows that are equal in id and text stay together.
 
 Defined results: null counts as the empty text, whose phrase set is empty; two
 empty texts are alike (1), an empty and another one are not (0).  Equal ids are
@@ -39,9 +42,9 @@ class Params:
     #: Signature places, 16 bits each.
     places: int = 64
     seed: int = 5
-    #: Documents per id range, on average, and the largest number of ranges (the bounds are a driver-side list).
+    #: Documents per range, at least, and the bounds that travel to the driver and the tasks, about, at most (16 bytes each).
     range_rows: int = 400
-    max_ranges: int = 8192
+    bounds: int = 1_000_000
 
 
 def parse(data: bytes, state: int, base: set[int], own: set[int]) -> int:
@@ -83,8 +86,9 @@ class Signer:
         return folded.astype(">u2").tobytes()
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.mean(a == b))
+def likeness(a: bytes, b: bytes) -> float:
+    """The share of equal places of two signatures, as they are published."""
+    return float(np.mean(np.frombuffer(a, ">u2") == np.frombuffer(b, ">u2")))
 
 
 def fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -104,35 +108,53 @@ def fingerprints(docs: DataFrame, p: Params = Params()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the order: ``down`` rises as the id falls, null last; ``tie`` is the text's hash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text") \
+        .withColumn("down", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1))).withColumn("tie", F.xxhash64("text"))
+
+
+def bounds_of(rows: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """The first keys (down, tie) of the ranges, in order; the very first key of all is among them."""
+    import pyarrow as pa
+
+    step = max(p.range_rows, -(-rows.count() // p.bounds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            yield batch.take(pa.array(np.arange(-seen % step, batch.num_rows, step)))
+            seen += batch.num_rows
+
+    keys = rows.select("down", "tie").repartitionByRange("down", "tie").sortWithinPartitions("down", "tie")
+    found = keys.mapInArrow(run, "down long, tie long").distinct().toArrow()
+    down, tie = found["down"].to_numpy(), found["tie"].to_numpy()
+    order = np.lexsort((tie, down))
+    return down[order], tie[order]
+
+
 def ranged(docs: DataFrame, p: Params) -> DataFrame:
     """doc_id, text, order keys, cell, ahead: rows of ``cell`` in order, then (``ahead``) the row that follows them."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = rows.count()
-    cells = max(1, min(p.max_ranges, -(-n // p.range_rows)))
-    cuts = [i / cells for i in range(1, cells)]
-    found = rows.agg(F.percentile_approx("doc_id", cuts, 100 * cells)).first()[0] if cuts else None
-    bounds = np.unique(np.array(found or [], np.int64))
-
-    @F.pandas_udf("int")
-    def cell_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        at = np.searchsorted(bounds, ids.fillna(0).astype("int64").to_numpy(), side="right")
-        return pd.Series(np.where(known, len(bounds) - at, len(bounds) + 1).astype("int32"))
-
-    rows = (rows.withColumn("cell", cell_of("doc_id"))
-            .withColumn("down", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)))
-            .withColumn("tie", F.xxhash64("text")))
-    heads = rows.groupBy("cell").agg(F.min(F.struct("down", "tie")).alias("head")).orderBy("cell").collect()
-    spark = docs.sparkSession
-    before = [(heads[i]["cell"], heads[i]["head"]["down"], heads[i]["head"]["tie"], heads[i - 1]["cell"])
-              for i in range(len(heads))]  # the first range's head follows the last range
-    side = spark.createDataFrame(before, "cell int, head_down long, head_tie long, before int")
-    rows = rows.join(F.broadcast(side), "cell")  # at most max_ranges + 1 rows
-    is_head = (F.col("down") == F.col("head_down")) & (F.col("tie") == F.col("head_tie"))
-    own = F.struct(F.col("cell").alias("cell"), F.lit(False).alias("ahead"))
-    ahead = F.struct(F.col("before").alias("cell"), F.lit(True).alias("ahead"))
+    rows = keyed(docs)
+    bound_down, bound_tie = bounds_of(rows, p)
+    cells = max(1, len(bound_down))
+    shared = docs.sparkSession.sparkContext.broadcast((bound_down, bound_tie))
+
+    @F.pandas_udf("cell int, head boolean")
+    def place(down: pd.Series, tie: pd.Series) -> pd.DataFrame:
+        own_down, own_tie = shared.value
+        d, t = down.to_numpy(), tie.to_numpy()
+        low, high = np.searchsorted(own_down, d, "left"), np.searchsorted(own_down, d, "right")
+        at = high - 1
+        for i in np.flatnonzero(high > low).tolist():  # bounds of this very id: the text's hash decides
+            at[i] = low[i] + np.searchsorted(own_tie[low[i]:high[i]], t[i], "right") - 1
+        return pd.DataFrame({"cell": at.astype("int32"), "head": (own_down[at] == d) & (own_tie[at] == t)})
+
+    rows = rows.withColumn("place", place("down", "tie"))
+    own = F.struct(F.col("place.cell").alias("cell"), F.lit(False).alias("ahead"))
+    ahead = F.struct(F.pmod(F.col("place.cell") - 1, F.lit(cells)).alias("cell"), F.lit(True).alias("ahead"))
     return rows.select("doc_id", "text", "down", "tie", F.explode(
-        F.when(is_head, F.array(own, ahead)).otherwise(F.array(own))).alias("at")).select(
+        F.when(F.col("place.head"), F.array(own, ahead)).otherwise(F.array(own))).alias("at")).select(
         "doc_id", "text", "down", "tie", "at.cell", "at.ahead")
 
 
@@ -163,8 +185,9 @@ def compare_with_next(docs: DataFrame, p: Params = Params()) -> DataFrame:
             parse(new.encode("utf-8", "surrogatepass"), state, base, tail)
             edited = np.minimum(head_least, signer.least(tail))
             digest = hashlib.sha256((text[:cut] + new).encode("utf-8", "surrogatepass")).hexdigest()
-            return (doc_id, len(text), digest, signer.signature(least).hex(), signer.signature(edited).hex(),
-                    likeness(least, edited), likeness(least, following[5]))
+            own, other = signer.signature(least), signer.signature(edited)
+            return (doc_id, len(text), digest, own.hex(), other.hex(), likeness(own, other),
+                    likeness(own, signer.signature(following[5])))
 
         held = None  # (cell, doc_id, side) of the last row that still waits for the next
         for batch in batches:

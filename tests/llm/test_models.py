@@ -39,6 +39,40 @@ def test_language_held_out(spark):
     assert np.mean(own) > 0.95 and np.mean([r["rejected"] for r in got]) < 0.03
 
 
+def test_language_against_plain_compression(spark):
+    """The query's rows from a dictionary of the first texts by hash and one compressed size per block and language."""
+    import zstandard as zstd
+    from xxhash import xxh64_intdigest
+
+    p = language_id.Params()
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    signed = lambda t: (xxh64_intdigest(t, 42) ^ (1 << 63)) - (1 << 63)
+    books = {}
+    for lang in sorted({r["lang"] for r in rows} - {None}):
+        own = {r["text"] for r in rows if r["lang"] == lang and r["text"] is not None and crc(r["doc_id"]) % 4 != 2}
+        sample, size = [], 0
+        for t in sorted((t for t in own if len(t) <= p.longest), key=signed)[:p.sample_docs]:
+            size += len(t)
+            if size <= p.sample_chars:
+                sample.append(t)
+        books[lang] = " ".join(sample).lower().encode()
+    want = {}
+    for r in rows:
+        text = (r["text"] or "").lower()
+        if not any(c.isalpha() for c in text):
+            want[r["doc_id"]] = ("und", 0.0)
+            continue
+        data, sizes = text.encode(), []
+        for lang, book in books.items():
+            d = zstd.ZstdCompressionDict(book, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=p.level)
+            one = zstd.ZstdCompressor(level=p.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append((sum(len(one.compress(data[i:i + p.block_bytes])) for i in range(0, len(data), p.block_bytes)), lang))
+        (best, lang), (second, _) = sorted(sizes)[:2]
+        want[r["doc_id"]] = (lang, (second - best) / second)
+    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.query(spark, SF).collect()} == want
+
+
 def test_language_edges(small, edge_docs, no_docs):
     known = language_id.fit(small)
     got = one_per_row(language_id.identify(edge_docs, known), EDGE_ROWS)
