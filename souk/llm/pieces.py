@@ -4,6 +4,13 @@ The pieces of a SentencePiece model (a parameter; nothing is trained) are put
 into an Aho-Corasick automaton.  A text is read once: at each character the
 automaton's state and its output links name all pieces that end there, each
 relaxes the best score of that position, and the best path is read backwards.
+
+The scores of a merge model's pieces are the negative ranks of its merges, which
+say nothing of a sum of pieces.  A piece's score is therefore the logarithm of a
+Zipf-Mandelbrot law over the rank, 1 / (rank + ``RANK_SHIFT``): a rule, nothing is
+trained.  The ids are those of the best path under that law; merging step by step
+gives the same ids for about five of six running words.
+
 Characters that no piece covers become byte pieces, so decoding gives back
 every text exactly.
 
@@ -18,6 +25,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -31,6 +39,8 @@ from souk.llm.common import table
 
 #: The model file of the production query (a parameter of ``load``).
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The law of the pieces' ranks; None takes the model's scores as they are (log probabilities).
+RANK_SHIFT = 100.0
 #: Words remembered per task, in each of two generations (about 250 bytes each).
 REMEMBERED = 200_000
 #: Score of a character that no piece covers, below the lowest piece.
@@ -48,10 +58,13 @@ class Model:
     surface: tuple[bytes, ...] = field(repr=False)
 
 
-def load(path: str = MODEL) -> Model:
+def load(path: str = MODEL, rank_shift: float | None = RANK_SHIFT) -> Model:
     """Reads a model file on the driver; the pieces travel to the tasks."""
     import sentencepiece
 
+    def law(score: float) -> float:
+        return score if rank_shift is None else -math.log(rank_shift - score)
+
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces, byte_ids, surface = {}, [0] * 256, []
     for i in range(sp.get_piece_size()):
@@ -64,7 +77,7 @@ def load(path: str = MODEL) -> Model:
             surface.append(b"")
         else:
             plain = piece.replace(SPACE_MARK, " ")
-            pieces[plain] = (i, sp.get_score(i))
+            pieces[plain] = (i, law(sp.get_score(i)))
             surface.append(plain.encode())
     return Model(pieces, tuple(byte_ids), tuple(surface))
 
