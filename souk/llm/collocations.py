@@ -255,7 +255,9 @@ def phrase_counts(docs: DataFrame, known: Known, length: int, p: Params) -> Data
                                              ["lang", "code", "phrase", "n"])
 
     kind = "lang string, code long, phrase string, n long"
-    found = docs.mapInArrow(run, kind).groupBy("lang", "code", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= p.least)
+    # every task has added up its own part: the rows go to their sums as they are, not through a table of the task's rows
+    parts = docs.mapInArrow(run, kind).repartition("lang", "code", "phrase")
+    found = parts.groupBy("lang", "code", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= p.least)
     return write_shared(found.mapInArrow(read, kind), f"phrases{length}")
 
 
