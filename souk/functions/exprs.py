@@ -139,8 +139,7 @@ def to_number(c: ColumnOrName) -> Column:
     return _c(c).try_cast("double")
 
 
-#: The spellings of a logical value; any other text is missing.
-TRUE_WORDS = ("T", "TRUE", "true", "True")
+#: The spellings of a false logical value; any other text is true or missing.
 FALSE_WORDS = ("F", "FALSE", "false", "False")
 
 

@@ -21,15 +21,20 @@ from souk.operators import reshape as R
 from souk.operators import survey as S
 from souk.plans import roundtrip as RT
 from souk.plans.market import MarketRound
+from souk.sources.store import releases, stamp
 
-_ROUNDS: dict[tuple[str, str], MarketRound] = {}
+_ROUNDS: dict[str, tuple[tuple, MarketRound]] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
 def market_round(spark: SparkSession, sf_dir: str) -> MarketRound:
-    key = (spark.sparkContext.applicationId, sf_dir)  # the written tables belong to the application
-    if key not in _ROUNDS:
-        _ROUNDS[key] = MarketRound(spark, sf_dir)
-    return _ROUNDS[key]
+    """The workflow over one folder, whose written tables all queries share as long
+    as they are there: a new application, a release of the written tables or a
+    table that changed starts a new one."""
+    state = (spark.sparkContext.applicationId, releases(), *(stamp(spark, f"{sf_dir}/{t}.parquet") for t in TABLES))
+    if sf_dir not in _ROUNDS or _ROUNDS[sf_dir][0] != state:
+        _ROUNDS[sf_dir] = state, MarketRound(spark, sf_dir)
+    return _ROUNDS[sf_dir][1]
 
 
 def compare_form(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -19,6 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _RUN = uuid.uuid4().hex[:12]
+_released = 0
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -44,10 +45,27 @@ def run_folder(spark: SparkSession) -> str:
 def release(spark: SparkSession) -> bool:
     """Deletes every table this process wrote; call it when no result that reads
     them is needed any more.  False if there was nothing."""
+    global _released
+    _released += 1
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def releases() -> int:
+    """How often written tables were deleted: what was read before is gone."""
+    return _released
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """Modification time and length of a file or folder; None if it is not there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    status = fs.getFileStatus(p)
+    return status.getModificationTime(), status.getLen()
+
+
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once under the checkpoint folder and return a scan of it.
 
