@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -231,3 +232,59 @@ def test_license_letters_are_lowered_in_ascii_only(spark):
     rows = [(i, notice.replace("work", w).upper() if i == 9 else notice.replace("work", w)) for i, w in ((1, "wor\u212a"), (2, "worq"), (9, "work"))]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(docs_frame(spark, rows)).collect()}
     assert got[1] == got[2] != got[9] and got[9] == ("cc-by-4.0", 1.0)
+
+
+def filled(text, rng, change):
+    """The words of a text with some replaced, left out or added."""
+    out = []
+    for w in license_scan.words_in(text):
+        x = rng.random()
+        out += [] if x < change / 3 else ["other"] if x < 2 * change / 3 else [w, "more"] if x < change else [w]
+    return " ".join(out)
+
+
+def test_printed_licenses(spark):
+    """Whole texts, longer than one mask, with a few words changed, in upper case, cut short or mixed up."""
+    rng = random.Random(5)
+    longest = max(len(license_scan.words_in(t)) for t in license_scan.TEXTS.values())
+    assert longest > 2 * license_scan.MASK
+    rows, want = [], {}
+    for i, (label, text) in enumerate(license_scan.TEXTS.items()):
+        words = license_scan.words_in(text)
+        mixed = list(words)
+        rng.shuffle(mixed)
+        for k, (t, hit) in enumerate([(text, True), (text.upper(), True), ("intro words " * 9 + filled(text, rng, 0.04), True),
+                                      (" ".join(words[: len(words) // 2]), False), (" ".join(mixed), False)]):
+            rows.append((10 * i + k, t))
+            want[10 * i + k] = (label, hit)
+    for r in license_scan.scan(docs_frame(spark, rows)).collect():
+        label, hit = want[r["doc_id"]]
+        assert (label in r["labels"].split(",")) == hit, (r["doc_id"], label, r["labels"])
+        if hit:
+            span = max(x["coverage"] for x in r["spans"] if x["label"] == label)
+            assert span >= 0.75 and r["score"] >= span and (r["doc_id"] % 10 > 1 or span == 1.0)
+
+
+def brute_coverage(words, template, near=2):
+    """Spans of a template by plain loops: hits by words, diagonals merged, the share of places covered."""
+    hits = sorted((i - j, j) for i in range(len(words) - 1) for j in range(len(template) - 1) if words[i:i + 2] == template[j:j + 2])
+    spans, last = [], None
+    for d, j in hits:
+        if last is None or d - last > near:
+            spans.append(set())
+        spans[-1].add(j)
+        last = d
+    return max((len(s) / (len(template) - 1) for s in spans), default=0.0)
+
+
+def test_coverage_against_plain_loops(spark, small_rows):
+    rng = random.Random(9)
+    rows = [(i, filled(rng.choice(list(license_scan.TEXTS.values())), rng, 0.35)) for i in range(30)] + [(100 + d, t) for d, t in small_rows[:20]]
+    got = {r["doc_id"]: {x["label"]: x["coverage"] for x in sorted(r["spans"], key=lambda x: x["coverage"])} for r in
+           license_scan.scan(docs_frame(spark, rows), license_scan.Params(coverage=0.2)).collect()}
+    for d, text in rows:
+        words = license_scan.words_in(text)
+        for _, label, base, template in license_scan.templates():
+            if not base:
+                cover = brute_coverage(words, template)
+                assert got[d].get(label) == (pytest.approx(cover) if cover >= 0.2 else None), (d, label)
