@@ -53,6 +53,8 @@ class Params:
     #: Sorted projections, and half the width of a window in spreads of a pair at the threshold.
     lists: int = 32
     half_width: float = 2.0
+    #: Parts of a group that meet their smallest id apart.
+    salts: int = 32
     seed: int = 11
 
 
@@ -320,8 +322,12 @@ def near_vectors(vectors: DataFrame, p: Params = Params()) -> DataFrame:
                      (F.col("weight") - 1 + F.coalesce(F.col("total") - F.col("weight"), F.lit(0))
                       + F.coalesce("links", F.lit(0))).alias("n_links")))
     rows = write_shared(base.select("vec_id", "node").join(state, "node", "left"), "states")
-    least = rows.where("component is not null and vec_id is not null").groupBy("component").agg(F.min("vec_id").alias("least"))
-    out = rows.withColumn("component", F.when(F.col("vec_id").isNotNull(), F.col("component"))).join(least, "component", "left")
+    # a large group's rows meet their smallest id in several tasks
+    salts = F.lit(p.salts)
+    least = rows.where("n_links > 0 and vec_id is not null").groupBy("component").agg(F.min("vec_id").alias("least")) \
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1).cast("array<long>")))
+    out = rows.withColumn("component", F.when(F.col("vec_id").isNotNull() & (F.col("n_links") > 0), F.col("component"))) \
+        .withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts)).join(least, ["component", "salt"], "left")
     component = F.coalesce("least", "vec_id")
     return out.select(
         "vec_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
