@@ -42,7 +42,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The law of the pieces' ranks; None takes the model's scores as they are (log probabilities).
 RANK_SHIFT = 100.0
 #: Words remembered per task, in each of two generations (about 250 bytes each).
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Score of a character that no piece covers, below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 SPACE_MARK = "▁"
