@@ -87,7 +87,9 @@ def analyse_by_plan(df: DataFrame, plan: DataFrame, id_col: str = "uuid", sep: s
     usable = plan.select(*PLAN_COLS).where(F.col("kind").isin(*KINDS) & F.col("question").isin(names) & F.col("independent").isin(names)
                                            & (F.col("repeat").isNull() | F.col("repeat").isin(names)))
     asked = df.select(cells.alias("__c")).select("__c", F.explode("__c").alias("question", "__answer")).where(F.col("__answer").isNotNull())
-    rows = asked.join(usable, "question")
+    # the plan is the short side; left to the planner, the respondents' cells may be the side it sends to the driver:
+    # their size is estimated from the packed file
+    rows = asked.join(F.broadcast(usable), "question")
     c, answer = F.col("__c"), F.col("__answer")
     number = F.when(F.col("kind") == NUMERIC, X.to_number(answer))
     options = (F.when(F.col("kind") == SELECT_ONE, F.array(answer)).when(F.col("kind") == SELECT_MULTIPLE, F.array_distinct(F.split(answer, sep)))

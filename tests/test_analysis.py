@@ -98,6 +98,14 @@ def test_the_plan_is_joined_not_read(people, plan):
     assert "Join" in text and "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_the_plan_is_the_side_that_travels(spark, people, plan, tmp_path):
+    """A packed file of respondents looks smaller than the plan; its cells must not go to the driver."""
+    people.write.parquet(str(tmp_path / "people"))
+    text = physical(A.analyse_by_plan(spark.read.parquet(str(tmp_path / "people")), plan))
+    joins = [ln for ln in text.splitlines() if "Join [question#" in ln and "Inner" in ln]
+    assert joins and all("BroadcastHashJoin" in ln and "BuildRight" in ln for ln in joins)
+
+
 def test_kinds_and_lists(questions):
     got = {r.question: (r.kind, r.list_name) for r in A.question_lists(questions).collect()}
     assert got == {"water": ("select_one", "yes_no"), "tools": ("select_multiple", "tools"), "age": ("numeric", None),
