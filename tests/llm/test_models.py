@@ -304,3 +304,27 @@ def test_history_tells_tail_words_apart(spark):
     f = np.repeat(language_model.features([before])[1:], len(words), axis=0)
     share = np.exp(language_model.tail_log_probability(w, f, paths, v.depth, p)) * own / v.leaf_mass[paths]
     assert abs(share.sum() - 1) < 1e-4
+
+
+def test_runs_are_summed_whatever_their_length():
+    rng = np.random.default_rng(5)
+    for widths in (4, 3):
+        x = rng.normal(size=(50, widths)).astype(np.float32)
+        lengths = rng.permutation([1] * 30 + [2] * 9 + [15, 16, 17, 18, 40, 700])
+        of = rng.integers(0, len(x), lengths.sum())
+        starts = np.cumsum(lengths) - lengths
+        order, got = language_model.run_sums(x, of, starts)
+        assert sorted(order.tolist()) == list(range(len(lengths))) and (np.diff(lengths[order]) <= 0).all()
+        want = np.array([x[of[i:i + n]].astype(float).sum(axis=0) for i, n in zip(starts, lengths, strict=True)])
+        assert np.allclose(got, want[order], atol=1e-3)
+    order, got = language_model.run_sums(x, np.array([7]), np.array([0]))
+    assert order.tolist() == [0] and (got == x[7]).all()
+
+
+def test_documents_do_not_see_each_other():
+    """Read one behind the other, documents have the features that each has alone."""
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 1000, n) for n in (1, 1, 2, 3, 1, 40)]
+    apart = np.concatenate([language_model.features([d]) for d in docs])
+    together = language_model.features_of(np.concatenate(docs), np.array([len(d) for d in docs]))
+    assert (apart == together).all()
