@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import held_out, keep_rows, table, unit_hash
+from souk.llm.common import held_out, keep_rows, table, tidy, unit_hash
 
 SCHEMA = "doc_id long, lang_pred string, score double, margin_bytes long, rejected boolean"
 
@@ -112,7 +112,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], params: Params = P
                 cols[name] = pa.array([r[i] for r in out], kind)
             yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def drop_rejected(docs: DataFrame, dictionaries: dict[str, bytes], params: Params = Params()) -> DataFrame:

@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import table, without_ids, words_of, write_shared
+from souk.llm.common import table, tidy, without_ids, words_of, write_shared
 from souk.llm.components import components
 
 
@@ -145,7 +145,7 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                 ["doc_id", "n_shingles", "set_key", "keys", "level", "odd", "odd_next"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, keys array<long>, level int, odd binary, odd_next binary")
+        tidy(run), "doc_id long, n_shingles long, set_key binary, keys array<long>, level int, odd binary, odd_next binary")
 
 
 def _bits(col, bits: int) -> np.ndarray:
@@ -172,7 +172,7 @@ def sketch_filter(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
 
     side = {x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("level").alias(f"level_{x}"),
                             F.col("odd").alias(f"odd_{x}"), F.col("odd_next").alias(f"next_{x}")) for x in "ab"}
-    return pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(tidy(run), "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
@@ -186,24 +186,23 @@ def confirm(pairs: DataFrame, docs: DataFrame, p: Params) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            sets = [shingle_set(x.as_py(), p.words).tobytes() for x in t.column("text")]
-            yield pa.RecordBatch.from_arrays([t.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            ok = []
-            for x, y in zip(t.column("set_a"), t.column("set_b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= p.percent * (len(x) + len(y) - both))
-            yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):  # a set is several times its text's words
+                t = whole.slice(start, 500)
+                sets = [shingle_set(x.as_py(), p.words) for x in t.column("text")]
+                ends = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays(
+                    [t.column("id"), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(sets).view(np.int64)))
+                     .cast(pa.list_(pa.int64()))], ["id", "shingles"])
 
     if not n:
         return pairs
-    sets = write_shared(texts.mapInArrow(cut, "id long, shingles binary"), "sets")
+    sets = write_shared(texts.mapInArrow(tidy(cut), "id long, shingles array<long>").where(F.size("shingles") > 0), "sets")
     side = {x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"}
-    return write_shared(pairs.join(side["a"], "a").join(side["b"], "b").mapInArrow(check, "a long, b long").distinct(), "links")
+    # compared row by row in the JVM: Arrow batches of thousands of pairs would hold both sets of each
+    both = F.size(F.array_intersect("set_a", "set_b")).cast("long")  # the sets are distinct; 100 both >= percent (a + b - both)
+    near = (100 + p.percent) * both >= p.percent * (F.size("set_a") + F.size("set_b")).cast("long")
+    return write_shared(pairs.join(side["a"], "a").join(side["b"], "b").where(near).select("a", "b").distinct(), "links")
 
 
 def leftover_pairs(members: DataFrame, nodes: DataFrame, known: DataFrame, p: Params) -> DataFrame:
@@ -293,7 +292,7 @@ def leftover_pairs(members: DataFrame, nodes: DataFrame, known: DataFrame, p: Pa
             a, b = group(held)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import table
+from souk.llm.common import table, tidy
 
 #: The model file of the production query (a parameter of ``load``).
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
                      pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "token_ids", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
+        tidy(run), "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
@@ -219,7 +219,7 @@ def decode(encoded: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "token_ids").mapInArrow(
-        run, "doc_id long, text string")
+        tidy(run), "doc_id long, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

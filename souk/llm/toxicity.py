@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.llm import labelled, logistic
-from souk.llm.common import held_out, keep_rows, table
+from souk.llm.common import held_out, keep_rows, table, tidy
 
 #: Words that report somebody's speech, by which a hit is a quotation.
 REPORTING = frozenset("said says wrote writes quoted quote quotes called calling word words term terms "
@@ -237,7 +237,7 @@ def learn_lexicon(rows: DataFrame, p: Params) -> dict[str, float]:
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not other:
         return {}
-    places = rows.mapInArrow(count, "word string, before string, other boolean, toxic boolean")
+    places = rows.mapInArrow(tidy(count), "word string, before string, other boolean, toxic boolean")
     counts = (places.groupBy("word", "before").agg(F.max("other").alias("other"), F.max("toxic").alias("toxic"))
               .groupBy("word").agg(F.sum(F.col("other").cast("long")).alias("c"), F.sum(F.col("toxic").cast("long")).alias("t")))
     share, base = F.col("t") / (F.col("t") + F.col("c")), toxic / (toxic + other)
@@ -262,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), modulus: int =
             found = [scorer.features(t.as_py())[0] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.float64()))], ["label", "x"])
 
-    table_ = rows.mapInArrow(run, "label int, x array<double>").toPandas()  # bounded by the sample
+    table_ = rows.mapInArrow(tidy(run), "label int, x array<double>").toPandas()  # bounded by the sample
     y = table_["label"].to_numpy(float)
     x = np.array(table_["x"].tolist(), float).reshape(len(y), 5)
     # thinned labels count for those left out, so the score keeps the input's balance
@@ -285,7 +285,7 @@ def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
                  pa.array([f[3] for f in found], pa.list_(pa.string()))],
                 ["doc_id", "score", "hits", "quoted_hits", "terms"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def drop_toxic(docs: DataFrame, model: Model, p: Params = Params(), threshold: float = 0.5) -> DataFrame:

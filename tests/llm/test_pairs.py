@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from corpus import BASE, EDGE_ROWS, SF, docs_frame, edge_docs, no_docs, small, small_rows  # noqa: F401
 
-from souk.llm import decontaminate, near_dedup
+from souk.llm import common, decontaminate, near_dedup
 from souk.llm.components import components
 
 
@@ -179,3 +179,21 @@ def test_decontamination_beyond_the_broadcast_bound(spark, small, small_rows):
 def test_needed_hits():
     assert decontaminate.needed_hits(24, 0.8, 1e-6) >= 5
     assert decontaminate.needed_hits(1, 0.8, 1e-6) == 1
+
+
+def test_rows_leave_the_workers_in_small_batches(spark):
+    """A batch that goes back to the JVM is held whole outside its heap."""
+    import pyarrow as pa
+
+    seen = []
+
+    class Frame:
+        schema = None
+
+        def mapInArrow(self, run, _):  # noqa: N802 - Spark's name
+            batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2500)), "text": ["x" if i % 5 else None for i in range(2500)]})
+            seen.extend(run(iter([batch, batch.slice(0, 0)])))
+
+    common.keep_rows(Frame(), lambda: lambda text: text is not None)
+    assert [b.num_rows for b in seen] == [1000, 1000]
+    assert [i for b in seen for i in b.column("doc_id").to_pylist()] == [i for i in range(2500) if i % 5]
