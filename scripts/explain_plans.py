@@ -42,9 +42,8 @@ def median_pass(m):
     items = m.item_prices.where(F.col("month").isin("October", "September"))
     measures = I.basket_measures(items.columns)
     ends = SE._ends(items, I.MEDIAN_KEYS, measures)
-    state = SE.materialize(SE._middle(ends).where("lower is null or upper is null")
-                           .select("__g", "m", "t", "even", "lo", "hi"), "explain_state")
-    return SE._coarse(SE._values(items, ends, I.MEDIAN_KEYS, measures, state), state)
+    state = SE.materialize(SE._start(SE._middle(ends)), "explain_state")
+    return SE._pass(SE._values(items, ends, I.MEDIAN_KEYS, measures, SE._with_far(state)))
 
 
 def cleaning_pass(spark, sf):

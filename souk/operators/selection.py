@@ -1,16 +1,17 @@
 """Exact order statistics by repeated histograms.
 
-The middle value of every (group, measure) is found without moving the values:
+The middle value of every (group, measure) is found without shuffling the values:
 
 * pass 0 counts the values of each group and takes their ends;
-* pass 1 counts them in ``BUCKETS`` buckets between the ends and keeps the
-  bucket that holds the middle position;
-* every further pass looks only at the values of that bucket, cuts it into
-  buckets again and keeps, per bucket, a count and its smallest and largest
-  value.  A bucket of one distinct value is the answer.
+* pass 1 cuts the range between the ends into ``BUCKETS`` buckets and keeps, per
+  bucket, a count and its smallest and largest value.  A bucket of one distinct
+  value is the answer;
+* the values of the buckets that hold a middle position are written once, as
+  narrow rows, and every further pass cuts what is left of those in the same way.
 
 Only counts per bucket are shuffled, at most ``BUCKETS`` rows per group, measure
 and task, so a group with a third of all rows costs what any other group does.
+The input is read three times, whatever the number of passes.
 Buckets are equal steps of the value or, where the ends are far apart, of its
 1024th root (ten square roots: correctly rounded and order-preserving on every
 machine), so a pass divides the remaining range by ``BUCKETS`` whatever the
@@ -28,7 +29,6 @@ from pyspark.sql import functions as F
 from souk.functions import exprs as X
 from souk.sources.store import materialize
 
-#: A power of two, so that a finer bucket number divided by it is the coarser one exactly.
 BUCKETS = 32
 #: Ends that differ by more than this factor are cut in steps of the root.
 FAR = 1000.0
@@ -90,26 +90,11 @@ def _values(df: DataFrame, ends: DataFrame, keys: Sequence[str], measures: Seque
     """(g, m, v and the state) of every finite value whose group and measure are still open."""
     groups = ends.select("__g", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
-    cells = F.filter(F.array(*[F.struct(F.lit(i).alias("m"), F.col(m).cast("double").alias("v")) for i, m in enumerate(measures)]),
-                     lambda c: X.is_finite(c["v"]))
-    rows = df.join(groups, same).select("__g", F.inline(cells))
+    cells = F.array(*[F.struct(F.lit(i).alias("m"), F.col(m).cast("double").alias("v")) for i, m in enumerate(measures)])
+    rows = df.join(groups, same).select("__g", F.inline(cells)).where(X.is_finite("v"))
     return rows.join(state, ["__g", "m"])
 
 
-def _coarse(values: DataFrame, state: DataFrame) -> DataFrame:
-    """Pass 1: the bucket of the lower middle (``b``), the one after it (``after``) and the count below."""
-    far = _is_far(F.col("lo"), F.col("hi"))
-    counts = values.groupBy("__g", "m", _bucket(F.col("v"), F.col("lo"), F.col("hi"), far, BUCKETS).alias("b")) \
-        .agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("__g", "m").orderBy("b")
-    counts = counts.join(state, ["__g", "m"]).withColumn("upto", F.sum("c").over(w)).withColumn("after", F.lead("b").over(w))
-    hit = counts.where((F.col("upto") - F.col("c") < F.col("t")) & (F.col("t") <= F.col("upto")))
-    # the next value is of interest only if the upper middle is beyond this bucket
-    needed = F.col("even") & (F.col("t") == F.col("upto"))
-    return hit.select("__g", "m", "t", "even", "lo", "hi", "b", F.when(needed, F.col("after")).alias("after"),
-                      (F.col("upto") - F.col("c")).alias("below"))
-
-
 def _narrowed(buckets: DataFrame) -> DataFrame:
     """The state after a pass that gave (b, c, least, most) per bucket: the middle's bucket, or the answer."""
     w = Window.partitionBy("__g", "m").orderBy("b")
@@ -125,23 +110,26 @@ def _narrowed(buckets: DataFrame) -> DataFrame:
 STATE = ["__g", "m", "t", "even", "below", "beyond"]
 
 
-def _first_fine(values: DataFrame, state: DataFrame) -> DataFrame:
-    """Pass 2: the coarse bucket cut again; what lies in the bucket after it is one last bucket."""
-    far = _is_far(F.col("lo"), F.col("hi"))
-    fine = _bucket(F.col("v"), F.col("lo"), F.col("hi"), far, BUCKETS * BUCKETS)
-    # the coarse bucket of a fine one: the last fine bucket belongs to the last coarse one, as there
-    coarse = F.floor(fine / BUCKETS).cast("int")
-    rows = values.withColumn("beyond", F.lit(None).cast("double")) \
-        .where((coarse == F.col("b")) | (coarse == F.col("after"))) \
-        .groupBy(*STATE, F.when(coarse == F.col("b"), fine - F.col("b") * BUCKETS).otherwise(F.lit(BUCKETS)).alias("b"))
-    return _narrowed(rows.agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most")))
+def _start(middle: DataFrame) -> DataFrame:
+    """The state before pass 1: every group and measure whose ends are not the answer."""
+    return middle.where("lower is null or upper is null").select(
+        "__g", "m", "t", "even", F.lit(0).cast("long").alias("below"), F.lit(None).cast("double").alias("beyond"), "lo", "hi")
+
+
+def _with_far(state: DataFrame) -> DataFrame:
+    """Decided once per group and measure, not per value."""
+    return state.withColumn("far", _is_far(F.col("lo"), F.col("hi")))
+
+
+def _inside(values: DataFrame) -> DataFrame:
+    """The values between the ends that the last pass left."""
+    return values.where(F.col("v").between(F.col("lo"), F.col("hi")))
 
 
-def _fine(values: DataFrame) -> DataFrame:
-    """A further pass over the values between the ends that the last one left."""
-    far = _is_far(F.col("lo"), F.col("hi"))
-    rows = values.where(F.col("v").between(F.col("lo"), F.col("hi"))) \
-        .groupBy(*STATE, _bucket(F.col("v"), F.col("lo"), F.col("hi"), far, BUCKETS).alias("b"))
+def _pass(values: DataFrame) -> DataFrame:
+    """One pass over values between ends: counts and ends of the buckets, and what follows from them."""
+    bucket = _bucket(F.col("v"), F.col("lo"), F.col("hi"), F.col("far"), BUCKETS)
+    rows = values.groupBy(*STATE, bucket.alias("b"))
     return _narrowed(rows.agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most")))
 
 
@@ -150,24 +138,26 @@ def exact_medians(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -
     measure per group; NULL keys are groups, too, and a group without values
     keeps a row of NULLs.
 
-    One job per pass over the measures' columns; the state between two passes is
-    one row per group and measure that is still open, joined back by the planner's
-    choice (a broadcast below its threshold).
+    One job per pass; the state between two passes is one row per group and measure
+    that is still open, joined back by the planner's choice (a broadcast below its
+    threshold).
     """
     ms = list(measures)
     ends = _ends(df, keys, ms)
     middle = materialize(_middle(ends), "middles")
     done = [middle.where("lower is not null and upper is not null").select("__g", "m", "lower", "upper")]
-    open_ = middle.where("lower is null or upper is null")
-    state = open_.select("__g", "m", "t", "even", "lo", "hi")
-    for step in (_coarse, _first_fine):
-        state = materialize(step(_values(df, ends, keys, ms, state), state), "median_pass")
+    values, left = _values(df, ends, keys, ms, _with_far(_start(middle))), None
     while True:
+        state = materialize(_pass(values), "median_pass")
         done.append(state.where("lower is not null").select("__g", "m", "lower", "upper"))
         open_ = state.where("lower is null")
         if open_.isEmpty():
             break
-        state = materialize(_fine(_values(df, ends, keys, ms, open_.drop("lower", "upper"))), "median_pass")
+        open_ = open_.drop("lower", "upper")
+        if left is None:
+            rows = _values(df, ends, keys, ms, open_.select("__g", "m", "lo", "hi"))
+            left = materialize(_inside(rows).select("__g", "m", "v"), "median_values")
+        values = _inside(left.join(_with_far(open_), ["__g", "m"]))
     found = reduce(DataFrame.unionByName, done)
     value = F.lit(0.5) * F.col("lower") + F.lit(0.5) * F.col("upper")
     wide = found.groupBy("__g").agg(*[F.max(F.when(F.col("m") == i, value)).alias(f"__v{i}") for i in range(len(ms))])

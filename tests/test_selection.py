@@ -82,6 +82,19 @@ def test_median_shuffles_counts_not_values(spark, tmp_path):
     assert S.exact_medians(df, ["k"], ["x"]).first().x == statistics.median(exact)
 
 
+def test_medians_read_the_rows_three_times(spark, monkeypatch):
+    """However many passes the values need: once for the ends, once for the first buckets, once for what is left."""
+    rng = random.Random(11)
+    rows = [(g, x) for g in ("a", "b") for x in spread("exponents", 3000, rng)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    reads, passes, values, write = [], [], S._values, S.materialize
+    monkeypatch.setattr(S, "_values", lambda *a: reads.append(1) or values(*a))
+    monkeypatch.setattr(S, "materialize", lambda d, name, *a: passes.append(name) or write(d, name, *a))
+    got = {r.k: r.x for r in S.exact_medians(df, ["k"], ["x"]).collect()}
+    assert got == {g: brute_median([x for k, x in rows if k == g]) for g in ("a", "b")}
+    assert passes.count("median_pass") > 2 and len(reads) == 2
+
+
 def brute_fill(rows, levels, n):
     """Rows as dicts with keys and the list ``v``: each level's mean over all its rows, NULLs filled in turn."""
     rows = [dict(r, v=list(r["v"])) for r in rows]
