@@ -328,3 +328,31 @@ def test_documents_do_not_see_each_other():
     apart = np.concatenate([language_model.features([d]) for d in docs])
     together = language_model.features_of(np.concatenate(docs), np.array([len(d) for d in docs]))
     assert (apart == together).all()
+
+
+def test_language_model_reads_equal_words_once():
+    """Tokens from Arrow are those of ``tokens``; a rare word is hashed once for a part of the texts, however often it occurs."""
+    import pyarrow as pa
+
+    lm = language_model
+    texts = ["", " ", None, " The  rare\tRARE \n", "É x\x0bY\x0cz\x1cq\x85", "rare a\xa0b the", "\n", "the " * 300 + "rare " * 300]
+    for part in (texts, texts[2:5], []):
+        words, lengths = lm.tokens_in(pa.array(["x", *part], pa.string()).slice(1))
+        assert words.to_pylist() == [w for t in part for w in lm.tokens(t)] and lengths.tolist() == [len(lm.tokens(t)) for t in part]
+    p = lm.Params(classes=2, class_words=2)
+    ranks = {b"the": 0, b"": 1, b"x": 2, b"y": 3}
+    vocabulary = lm.Vocabulary(ranks, np.array([9, 8, 2, 1]), 30, 8, 10, 3, 1, np.ones(2))
+    reader, plain, asked = lm.Reader(vocabulary, p), lm.Reader(vocabulary, p), []
+    reader.read = lambda words: asked.extend(words) or plain.read(words)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    got = list(lm.batches_of_tokens(iter([batch]), reader, 8))
+    assert sorted(asked) == sorted({w for t in texts for w in lm.tokens(t)} - set(ranks))
+    want, held = [], []
+    for t in texts:
+        held.append(lm.tokens(t))
+        if sum(map(len, held)) >= 8 or t is texts[-1]:
+            words = [w for d in held for w in d]
+            own, codes = plain.read(words)
+            want.append((lm.features_of(codes, np.array([len(d) for d in held])), plain.symbol[own], plain.paths(words, own, codes)))
+            held = []
+    assert len(got) == len(want) and all(np.array_equal(a, b) for x, y in zip(got, want) for a, b in zip(x, y))
