@@ -63,7 +63,7 @@ def main() -> None:
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     cases = [
         ("Item prices: observations + two size-checked lookups", lambda: m.obs),
-        ("Five area levels in one pass (cells pre-aggregated, then GROUPING SETS)",
+        ("Five area levels (settlements' sums, then GROUPING SETS; markets apart)",
          lambda: M.all_level_means(m.item_prices)),
         ("Sequential gap filling (group means from carried states, joined back; no window)",
          lambda: I.impute_hierarchical(m.medians)),

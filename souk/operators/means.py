@@ -2,14 +2,14 @@
 
 Means skip NULL and NaN but not Inf, and a non-finite result becomes NULL.
 
-All five area levels come from one pre-aggregation: the observations are
-first reduced to (sum, count) per finest cell (market within settlement,
-district and region, per month).  That reduction runs map-side, so the
-shuffle carries one row per cell and task, whatever the number of
-observations or how skewed an area is.  The five levels are then one
-``GROUPING SETS`` pass over the cells, and each level's mean is
-sum(sums) / sum(counts) -- exactly the mean over the raw rows, not a mean of
-means.
+The observations are reduced to sums and counts twice: per settlement (within
+district and region, per month) and per market of a settlement.  Both reductions
+run map-side, so the shuffles carry one row per group and task, whatever the number of
+observations or how skewed an area is.  Markets can be nearly as many as the
+observations, settlements are few: only the settlements' sums are expanded, in one
+``GROUPING SETS`` pass, to the four levels without a market, and a market's sums
+are shuffled once.  Each level's mean is sum(sums) / sum(counts) -- exactly the
+mean over the raw rows, not a mean of means.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ LEVELS: dict[str, list[str]] = {
     "region": ["regions", "month", "collection_order"],
 }
 CELL_KEYS = ["regions", "district", "settlement", "market_final", "month", "collection_order"]
+AREA_KEYS = LEVELS["settlement"]
+AREA_LEVELS = [level for level in LEVELS if level != "market"]
 
 
 def _sum_col(m: str) -> str:
@@ -48,16 +50,17 @@ def _inf_col(m: str) -> str:
     return f"__i_{m}"
 
 
-def cell_sums(item_prices: DataFrame, measures: Sequence[str] | None = None) -> DataFrame:
-    """Per finest cell: the two sums and the count of each measure's finite
-    values, and the number of infinite ones (NaN skipped)."""
+def cell_sums(item_prices: DataFrame, measures: Sequence[str] | None = None,
+              keys: Sequence[str] = tuple(CELL_KEYS)) -> DataFrame:
+    """Per finest cell, or group of ``keys``: the two sums and the count of each
+    measure's finite values, and the number of infinite ones (NaN skipped)."""
     ms = list(measures or measure_columns(item_prices))
     aggs = []
     for m in ms:
         aggs += [F.sum(X.decimal_part(m)).alias(_sum_col(m)), F.sum(X.double_part(m)).alias(_dbl_col(m)),
                  X.finite_count(m).alias(_cnt_col(m)),
                  F.count(F.when(X.is_inf(m), 1)).alias(_inf_col(m))]
-    return item_prices.groupBy(*CELL_KEYS).agg(*aggs)
+    return item_prices.groupBy(*keys).agg(*aggs)
 
 
 def _mean_from_cells(m: str) -> Column:
@@ -75,26 +78,40 @@ def area_means(item_prices: DataFrame, level: str,
 
 
 def all_level_means(item_prices: DataFrame, measures: Sequence[str] | None = None) -> DataFrame:
-    """All five levels in one pass (A6), tagged by ``level``."""
-    return levels_of_cells(cell_sums(item_prices, measures))
+    """All five levels (A6), tagged by ``level``.  Reads ``item_prices`` twice: pass a stored table."""
+    ms = list(measures or measure_columns(item_prices))
+    return _tagged(levels_of_areas(cell_sums(item_prices, ms, AREA_KEYS)), area_means(item_prices, "market", ms))
+
+
+def levels_of_sums(areas: DataFrame, markets: DataFrame) -> DataFrame:
+    """All five levels from sums and counts per settlement and per market; both may hold a
+    group several times."""
+    return _tagged(levels_of_areas(areas), markets.groupBy(*LEVELS["market"]).agg(*[_mean_from_cells(m) for m in _summed(markets)]))
 
 
-def levels_of_cells(cells: DataFrame) -> DataFrame:
-    """All five levels from the finest cells' sums and counts.
+def _summed(sums: DataFrame) -> list[str]:
+    return [c.removeprefix("__s_") for c in sums.columns if c.startswith("__s_")]
+
+
+def _tagged(levels: DataFrame, markets: DataFrame) -> DataFrame:
+    """The key columns that a level lacks are NULL there."""
+    ms = [c for c in markets.columns if c not in CELL_KEYS]
+    out = levels.unionByName(markets.withColumn("level", F.lit("market")), allowMissingColumns=True)
+    return out.select("level", *CELL_KEYS, *ms)
+
+
+def levels_of_areas(areas: DataFrame) -> DataFrame:
+    """The four levels without a market from the settlements' sums and counts.
 
     ``grouping()`` tells a rolled-up key from a genuinely NULL one.
     """
-    ms = [c.removeprefix("__s_") for c in cells.columns if c.startswith("__s_")]
-    sets = [[F.col(k) for k in LEVELS[lv]] for lv in LEVELS]
-    g = {k: F.grouping(k) for k in ["regions", "district", "settlement", "market_final"]}
-    level = (F.when(g["regions"] == 1,
-                    F.when(g["market_final"] == 1, F.lit("national")).otherwise(F.lit("market")))
-             .when(g["settlement"] == 1,
-                   F.when(g["district"] == 1, F.lit("region")).otherwise(F.lit("district")))
-             .otherwise(F.lit("settlement")))
-    out = cells.groupingSets(sets, *[F.col(k) for k in CELL_KEYS]).agg(
+    ms = _summed(areas)
+    sets = [[F.col(k) for k in LEVELS[lv]] for lv in AREA_LEVELS]
+    level = (F.when(F.grouping("regions") == 1, F.lit("national")).when(F.grouping("district") == 1, F.lit("region"))
+             .when(F.grouping("settlement") == 1, F.lit("district")).otherwise(F.lit("settlement")))
+    out = areas.groupingSets(sets, *[F.col(k) for k in AREA_KEYS]).agg(
         level.alias("level"), *[_mean_from_cells(m) for m in ms])
-    return out.select("level", *CELL_KEYS, *ms)
+    return out.select("level", *AREA_KEYS, *ms)
 
 
 def level_from_all(all_means: DataFrame, level: str) -> DataFrame:

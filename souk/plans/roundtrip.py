@@ -22,7 +22,7 @@ from souk.plans.market import MarketRound
 from souk.sources import export, tpch
 from souk.sources import files as FS
 from souk.sources.contract import INTEGER, NUMBER, Field, Loaded, read_contract
-from souk.sources.store import run_folder
+from souk.sources.store import materialize, run_folder
 
 PRICES = [f"price_{i}" for i in config.BIND_ITEMS]
 WEIGHTS = ["weight_economy", "weight_large"]
@@ -96,7 +96,7 @@ def rounds_means(m: MarketRound) -> DataFrame:
     rows = FS.read_round(load_rounds(m).rows).drop("enumerator")
     obs = RD.stack_and_enrich([rows], m.settlement_lookup, m.district_lookup, west_nile=config.BIND_WEST_NILE)
     items = RD.item_prices(obs, m.this_round, m.last_round, unit_items=config.BIND_UNIT_ITEMS)
-    return M.all_level_means(items)
+    return M.all_level_means(materialize(items, "items_read"))
 
 
 def log_read(m: MarketRound) -> DataFrame:

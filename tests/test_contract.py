@@ -9,7 +9,7 @@ from souk.operators import means as M
 from souk.operators import report as RP
 from souk.operators.increment import RoundStore
 from souk.plans import template
-from souk.plans.catalog import market_round
+from souk.plans.catalog import compare_form, market_round
 from souk.sources import export as EX
 from souk.sources import files as FS
 from souk.sources.contract import INTEGER, NUMBER, Field, header_issues, read_contract
@@ -99,6 +99,16 @@ def test_rounds_added_one_by_one(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(month" in plan  # the other rounds' folders are not read
 
 
+def test_a_round_stored_as_cells_still_counts(spark, tmp_path):
+    m = market_round(spark, SF_SMALL)
+    store = RoundStore(spark, str(tmp_path))
+    store.add("October", m.item_prices)
+    march = m.item_prices.where(F.col("month") == "March")
+    EX.publish(spark, f"{tmp_path}/round-March", {"cells": M.cell_sums(march)})
+    key = lambda df: sorted(map(str, compare_form(df).collect()))
+    assert key(store.means()) == key(M.all_level_means(m.item_prices.where("month <> 'September'")))
+
+
 def test_report_columns_come_from_the_template(spark):
     cells = [("b", RP.NUMBER, "key b"), ("a", RP.TEXT, "key a"), ("gone", RP.NUMBER, "no such key"), ("same", RP.TEXT, "key a")]
     long = spark.createDataFrame([("key b", 2.5, None), ("key a", None, "text"), ("other", 1.0, None), ("key b", 1.0, None)],

@@ -25,6 +25,15 @@ def test_five_levels_expand_after_preaggregation(spark):
     assert "Exchange" in below and "HashAggregate" in below
 
 
+def test_markets_are_shuffled_once_and_not_expanded(spark):
+    m = market_round(spark, SF_SMALL)
+    plan = physical(M.all_level_means(m.item_prices))
+    # the rows that are multiplied are the settlements' sums
+    assert all("market_final" not in ln for ln in plan.splitlines() if "Expand" in ln)
+    shuffled = [ln for ln in plan.splitlines() if "Exchange hashpartitioning" in ln and "market_final" in ln]
+    assert len(shuffled) == 1
+
+
 def test_observation_lookups_are_broadcast(spark):
     m = market_round(spark, SF_SMALL)
     plan = physical(m.item_prices)
